@@ -9,7 +9,9 @@ from cladelake.llm.shared import buffers
 
 _rng = np.random.default_rng(20240611)
 #: One random table for each place in an n-gram; XOR of the looked-up values is the hash.
-TABLES = _rng.integers(0, 1 << 32, size=(6, 256), dtype=np.uint32)
+TABLES = _rng.integers(0, 1 << 32, size=(8, 256), dtype=np.uint32)
+#: Bytes of one text that are hashed at a time.
+PIECE = 4 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -40,7 +42,9 @@ def profiles(texts: pa.Array, n: int, bits: int, lower: bool = True) -> tuple[np
     for i in range(rows):
         a, b = offsets[i], offsets[i + 1]
         if b > a:
-            counts[i] = np.bincount(hashes(np.concatenate((pad, data[a:b], pad)), n, bits), minlength=1 << bits)
+            padded = np.concatenate((pad, data[a:b], pad))
+            for at in range(0, len(padded), PIECE):  # pieces overlap by n - 1 bytes
+                counts[i] += np.bincount(hashes(padded[at : at + PIECE + n - 1], n, bits), minlength=1 << bits)
     return counts, counts.sum(axis=1)
 
 

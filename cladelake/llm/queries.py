@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from cladelake.llm.language_id import op3_language_id
+from cladelake.llm.toxicity import op6_toxicity
 
 QUERIES = {
+    "op6_toxicity": op6_toxicity,
     "op3_language_id": op3_language_id,
 }
 
