@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from cladelake.llm.language_id import op3_language_id
 from cladelake.llm.toxicity import op6_toxicity
+from cladelake.llm.mixing import OP2_SQL, op2_source_mix
 
 QUERIES = {
+    "op2_source_mix": op2_source_mix,
     "op6_toxicity": op6_toxicity,
     "op3_language_id": op3_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_source_mix": OP2_SQL,
+}
