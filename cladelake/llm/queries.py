@@ -5,8 +5,10 @@ from __future__ import annotations
 from cladelake.llm.language_id import op3_language_id
 from cladelake.llm.toxicity import op6_toxicity
 from cladelake.llm.mixing import OP2_SQL, op2_source_mix
+from cladelake.llm.decontamination import OP5_SQL, op5_decontamination
 
 QUERIES = {
+    "op5_decontamination": op5_decontamination,
     "op2_source_mix": op2_source_mix,
     "op6_toxicity": op6_toxicity,
     "op3_language_id": op3_language_id,
@@ -14,4 +16,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_source_mix": OP2_SQL,
+    "op5_decontamination": OP5_SQL,
 }
