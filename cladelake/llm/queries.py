@@ -6,8 +6,10 @@ from cladelake.llm.language_id import op3_language_id
 from cladelake.llm.toxicity import op6_toxicity
 from cladelake.llm.mixing import OP2_SQL, op2_source_mix
 from cladelake.llm.decontamination import OP5_SQL, op5_decontamination
+from cladelake.llm.simhash import op4_simhash
 
 QUERIES = {
+    "op4_simhash": op4_simhash,
     "op5_decontamination": op5_decontamination,
     "op2_source_mix": op2_source_mix,
     "op6_toxicity": op6_toxicity,
