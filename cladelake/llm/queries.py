@@ -8,8 +8,10 @@ from cladelake.llm.mixing import OP2_SQL, op2_source_mix
 from cladelake.llm.decontamination import OP5_SQL, op5_decontamination
 from cladelake.llm.simhash import op4_simhash
 from cladelake.llm.quality import op10_quality
+from cladelake.llm.html_text import op1_main_text
 
 QUERIES = {
+    "op1_main_text": op1_main_text,
     "op10_quality": op10_quality,
     "op4_simhash": op4_simhash,
     "op5_decontamination": op5_decontamination,
