@@ -9,8 +9,10 @@ from cladelake.llm.decontamination import OP5_SQL, op5_decontamination
 from cladelake.llm.simhash import op4_simhash
 from cladelake.llm.quality import op10_quality
 from cladelake.llm.html_text import op1_main_text
+from cladelake.llm.url_filter import OP7_SQL, op7_url_filter
 
 QUERIES = {
+    "op7_url_filter": op7_url_filter,
     "op1_main_text": op1_main_text,
     "op10_quality": op10_quality,
     "op4_simhash": op4_simhash,
@@ -23,4 +25,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_source_mix": OP2_SQL,
     "op5_decontamination": OP5_SQL,
+    "op7_url_filter": OP7_SQL,
 }
