@@ -10,8 +10,10 @@ from cladelake.llm.simhash import op4_simhash
 from cladelake.llm.quality import op10_quality
 from cladelake.llm.html_text import op1_main_text
 from cladelake.llm.url_filter import OP7_SQL, op7_url_filter
+from cladelake.llm.ann import op9_nearest
 
 QUERIES = {
+    "op9_nearest": op9_nearest,
     "op7_url_filter": op7_url_filter,
     "op1_main_text": op1_main_text,
     "op10_quality": op10_quality,
