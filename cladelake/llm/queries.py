@@ -11,8 +11,10 @@ from cladelake.llm.quality import op10_quality
 from cladelake.llm.html_text import op1_main_text
 from cladelake.llm.url_filter import OP7_SQL, op7_url_filter
 from cladelake.llm.ann import op9_nearest
+from cladelake.llm.lm_score import op8_lm_score
 
 QUERIES = {
+    "op8_lm_score": op8_lm_score,
     "op9_nearest": op9_nearest,
     "op7_url_filter": op7_url_filter,
     "op1_main_text": op1_main_text,
