@@ -190,10 +190,10 @@ class ContextTree:
         return self.bits.ravel()[row * np.int64(256) + wide[depth:]].astype(np.float64)
 
 
-def grow(levels: list[dict[int, np.ndarray]]) -> ContextTree:
-    """The tree from byte counts by context, one dict (context number -> 256 counts) for each depth."""
-    keys = [np.array(sorted(x), np.int64) for x in levels]
-    counts = [np.stack([x[k] for k in ks]).astype(np.float64) if len(ks) else np.zeros((0, 256)) for x, ks in zip(levels, keys, strict=True)]
+def grow(levels: list[tuple[np.ndarray, np.ndarray]]) -> ContextTree:
+    """The tree from sorted context numbers and their rows of 256 byte counts, for each depth."""
+    keys = [k for k, _ in levels]
+    counts: list = [x for _, x in levels]
     depth = len(levels) - 1
     parent = [np.zeros(0, np.int64)] + [np.searchsorted(keys[d - 1], keys[d] % (1 << (8 * (d - 1)))) for d in range(1, depth + 1)]
     weighted: list = [None] * (depth + 1)
@@ -202,21 +202,31 @@ def grow(levels: list[dict[int, np.ndarray]]) -> ContextTree:
     rest: list = [None] * (depth + 1)
     half = np.log(0.5)
     for d in range(depth, -1, -1):
-        zeros, ones = bit_counts(counts[d])
-        kt = log_kt(zeros, ones)
-        ratio[d] = ((ones + 0.5) / (zeros + ones + 1)).astype(np.float32)
-        if d == depth:
-            weighted[d] = kt
-            continue
-        spent, below = np.zeros_like(counts[d]), np.zeros_like(kt)
-        np.add.at(spent, parent[d + 1], counts[d + 1])
-        np.add.at(below, parent[d + 1], weighted[d + 1])
-        z, o = bit_counts(np.maximum(counts[d] - spent, 0))
-        split = below + log_kt(z, o)
-        rest[d] = ((o + 0.5) / (z + o + 1)).astype(np.float32)
-        weighted[d] = np.logaddexp(half + kt, half + split)
-        stay[d] = np.exp(half + kt - weighted[d]).astype(np.float32)
-        weighted[d + 1] = None
+        n = len(keys[d])
+        weighted[d], ratio[d] = np.zeros((n, 256)), np.zeros((n, 256), np.float32)
+        if d < depth:
+            stay[d], rest[d] = np.zeros((n, 256), np.float32), np.zeros((n, 256), np.float32)
+            order = np.argsort(parent[d + 1], kind="stable")
+            edge = np.searchsorted(parent[d + 1][order], np.arange(n + 1))
+        for at in range(0, n, 1024):  # a thousand nodes at a time
+            part = slice(at, min(at + 1024, n))
+            zeros, ones = bit_counts(counts[d][part])
+            kt = log_kt(zeros, ones)
+            ratio[d][part] = (ones + 0.5) / (zeros + ones + 1)
+            if d == depth:
+                weighted[d][part] = kt
+                continue
+            child = order[edge[part.start] : edge[part.stop]]
+            mine = parent[d + 1][child] - at
+            spent, below = np.zeros(kt.shape), np.zeros(kt.shape)
+            np.add.at(spent, mine, counts[d + 1][child])
+            np.add.at(below, mine, weighted[d + 1][child])
+            z, o = bit_counts(np.maximum(counts[d][part] - spent, 0))
+            rest[d][part] = (o + 0.5) / (z + o + 1)
+            weighted[d][part] = np.logaddexp(half + kt, half + below + log_kt(z, o))
+            stay[d][part] = np.exp(half + kt - weighted[d][part])
+        if d < depth:
+            weighted[d + 1] = counts[d + 1] = None
     rows, children = [], []
     so_far, weight = np.zeros((len(keys[0]), 256), np.float32), np.ones((len(keys[0]), 256), np.float32)
     for d in range(depth + 1):
@@ -230,6 +240,7 @@ def grow(levels: list[dict[int, np.ndarray]]) -> ContextTree:
             table = np.full((len(keys[d]) + 1, 256), -1, np.int32)
             table[parent[d + 1], keys[d + 1] >> (8 * d)] = np.arange(len(keys[d + 1]))
             children.append(table)
+        ratio[d] = stay[d] = rest[d] = None
         one = np.clip(one, 1e-9, 1 - 1e-9)
         cost = np.zeros((len(one), 1), np.float32)
         for width in (1, 2, 4, 8, 16, 32, 64, 128):
@@ -240,28 +251,26 @@ def grow(levels: list[dict[int, np.ndarray]]) -> ContextTree:
     return ContextTree(children, first, np.concatenate(rows))
 
 
-def context_tree(counts: DataFrame, depth: int = 4, nodes: int = 32768) -> ContextTree:
+def context_tree(counts: DataFrame, depth: int = 5, nodes: int = 49152) -> ContextTree:
     """Fetch the nodes' counts, at most ``nodes`` contexts a depth, and grow the tree."""
     coded = counts.where("code is not null")
     total = coded.agg(F.sum("n")).first()[0] or 0
-    levels: list[dict[int, np.ndarray]] = []
+    levels: list[tuple[np.ndarray, np.ndarray]] = []
     for d in range(depth + 1):
         by = coded.select((F.col("code").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1))).alias("code"), "n").groupBy("code").agg(F.sum("n").alias("n")) if d < depth else coded.select("code", "n")
         by = by.select(F.shiftright("code", 8).alias("context"), F.col("code").bitwiseAND(F.lit(255)).alias("byte"), "n")
         whole = by.groupBy("context").agg(F.sum("n").alias("all")).where(F.col("all") * nodes >= total)
         got = by.join(whole.select("context"), "context", "left_semi").toArrow() if total else None
-        table: dict[int, np.ndarray] = {}
+        keys, dense = np.zeros(int(d == 0), np.int64), np.zeros((int(d == 0), 256), np.float32)
         if got is not None and got.num_rows:
-            context = got.column("context").to_numpy()
-            unique, place = np.unique(context, return_inverse=True)
-            dense = np.zeros((len(unique), 256), np.float32)
+            keys, place = np.unique(got.column("context").to_numpy(), return_inverse=True)
+            dense = np.zeros((len(keys), 256), np.float32)
             dense[place, got.column("byte").to_numpy()] = got.column("n").to_numpy()
-            table = {int(k): dense[i] for i, k in enumerate(unique)}
-        levels.append(table or ({0: np.zeros(256, np.float32)} if d == 0 else {}))
+        levels.append((keys, dense))
     return grow(levels)
 
 
-def score(docs: DataFrame, train: DataFrame, text_col: str = "text", keep: list[str] | None = None, depth: int = 4, nodes: int = 32768, common: int = 200_000) -> DataFrame:
+def score(docs: DataFrame, train: DataFrame, text_col: str = "text", keep: list[str] | None = None, depth: int = 5, nodes: int = 49152, common: int = 200_000) -> DataFrame:
     """Score whole texts by a model of the texts of ``train``.
 
     Adds ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``
