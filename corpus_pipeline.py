@@ -1,23 +1,83 @@
-"""The corpus pipeline: stages from raw documents to a training mixture."""
+"""The corpus pipeline: from raw documents to a training mixture.
+
+Stages, in order: toxicity, language identification, SimHash near-dedup,
+benchmark decontamination, mixing sources to target weights. Each stage takes
+what its predecessor kept; all but the last return the columns of documents.
+
+Every stage takes nulls in any column, blank and very long texts, repeated
+rows, empty tables and further columns; what each does with them is said where
+the operators are defined.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cladelake.llm import language_id, shared
+from cladelake.llm import decontamination, language_id, mixing, shared, simhash, toxicity
 
+#: Learned models, a byte n-gram classifier and XXH64 fingerprints are not SQL: tests hold run() against plain versions.
 ORACLE_SQL = None
 
 
+def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score of 0.3 or more go.
+
+    Learned from the labels of documents of this stage's input whose
+    crc32(doc_id) mod 4 is not 2, as in the query.
+    """
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~shared.is_remainder("doc_id", 4, 2))
+    model = toxicity.train(docs, labels)
+    return toxicity.score(docs, model, keep=docs.columns).where("predicted = 0").select(*docs.columns)
+
+
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language is recognised: those that are undetermined
-    (null, blank, without a letter) go. Learned from the stage's own input."""
-    model = language_id.train(docs.where(~shared.is_remainder("doc_id", 4, 2)))
-    columns = docs.columns
-    return language_id.identify(docs, model).where("lang_pred <> 'und'").select(*columns)
+    """Documents without a recognisable language (null, blank, no letter) go.
+
+    Ambiguous ones stay: ambiguity between languages that are all wanted is no
+    reason to lose a clean document.
+    """
+    model = language_id.train(docs.where(~shared.is_remainder("doc_id", 4, 2) & F.col("doc_id").isNotNull()))
+    return language_id.identify(docs, model, keep=docs.columns).where(F.col("lang_pred") != language_id.UND).select(*docs.columns)
+
+
+def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near-duplicates the document with the smallest id stays.
+
+    Only ids of documents that go are joined with the texts. Repeats of an id
+    count as one document; of documents without an id one stays for each
+    component that has no id at all.
+    """
+    found = shared.materialize(simhash.near_duplicates(docs), "dedup")
+    go = found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(go, "doc_id", "left_anti").select(*docs.columns)
+    odd = found.where("doc_id is null or doc_id = component_id").groupBy("doc_id", "simhash").count().where("count > 1 or doc_id is null")
+    if not odd.isEmpty():
+        without = docs.where("doc_id is null")
+        lone = found.where("component_id is null").select("simhash").distinct()
+        without = simhash.fingerprints(without, keep=docs.columns).join(lone, "simhash", "left_semi").dropDuplicates(["simhash"]).select(*docs.columns)
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(without)
+    return kept
+
+
+def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of ten words, or a whole shorter item, of the benchmark go."""
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.search(docs, bench, keep=docs.columns).where("not contaminated").select(*docs.columns)
+
+
+def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Copies of each document in the mix of sources, 0 to 3."""
+    return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
-STAGES = [("language", stage_language)]
+STAGES = [
+    ("toxicity", stage_toxicity),
+    ("language_id", stage_language),
+    ("near_dedup", stage_near_dedup),
+    ("decontamination", stage_decontaminate),
+    ("mixing", stage_mix),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,5 +86,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = shared.materialize(docs, name)
+            docs = shared.materialize(docs, f"stage-{name}")
     return docs
