@@ -9,12 +9,12 @@ partition i gets a threshold t_i with sum(t_i) = radius - partitions + 1: two
 fingerprints within the radius then differ by at most t_i bits in at least one
 partition (t_i = -1: the partition need not be probed). Partition number and
 thresholds come from dynamic programming on estimated candidate counts.
-Distinct fingerprints are indexed by their bits in each partition and probed
-with all values within the threshold; candidates are verified on all 64 bits.
+Distinct fingerprints are sent to the keys of their bits in each partition and
+to all keys within the threshold; what meets under a key is verified on all 64
+bits, and only a spanning forest of it is kept.
 
-Exact copies share a fingerprint and never meet in the join. A bucket of more
-than ``hot`` distinct fingerprints is left out of the join; fingerprints that
-touch one are linked through the points of Hamming space within half the
+Exact copies share a fingerprint and never meet. A bucket of more than ``hot``
+distinct fingerprints is left out; fingerprints that touch one are linked through the points of Hamming space within half the
 radius: two fingerprints have such a point in common if and only if they are
 within the radius, so each point links its fingerprints to the smallest one.
 That is exact and linear in their number; no pair list of a group is made.
@@ -32,7 +32,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,8 +122,9 @@ def plan(sample: np.ndarray, total: int, radius: int = 4) -> list[tuple[list[int
     ``sample``: distinct fingerprints; ``total``: how many there are. A pair's
     chance to be a candidate is the chance that its differing bits in the
     partition are at most the threshold, bits taken as independent at their
-    measured rates; the work is candidates plus rows that probe. Partitions of
-    a threshold over 1 are left out of account, as their probes grow too many.
+    measured rates; the work is candidates plus rows that probe. Two or three
+    partitions, more only where the radius asks for them, and thresholds up to
+    2: more and narrower partitions have buckets that soon grow with the input.
     """
     bits = np.unpackbits(np.ascontiguousarray(sample.astype(np.uint64)).byteswap().view(np.uint8).reshape(-1, 8), axis=1)[:, ::-1].astype(np.float64)
     if not len(bits):
@@ -131,16 +132,17 @@ def plan(sample: np.ndarray, total: int, radius: int = 4) -> list[tuple[list[int
     rate = bits.mean(0)
     differ = 2 * rate * (1 - rate)
     best, chosen = np.inf, None
-    for parts in range(max(3, (radius + 3) // 2), radius + 2):
+    least = max(2, -(-(radius + 1) // 3))
+    for parts in range(least, max(3, least) + 1):
         groups = grouped_bits(bits, parts) if len(bits) > 2 else [list(map(int, g)) for g in np.array_split(np.arange(64), parts)]
         cost = []
         for g in groups:
-            chance = np.array([1.0, 0.0])  # of 0 and of 1 differing bits
+            chance = np.array([1.0, 0.0, 0.0])  # of 0, 1 and 2 differing bits
             for b in g:
-                chance = np.array([chance[0] * (1 - differ[b]), chance[1] * (1 - differ[b]) + chance[0] * differ[b]])
+                chance = chance * (1 - differ[b]) + np.concatenate(([0.0], chance[:-1])) * differ[b]
             near = np.cumsum(chance)
-            cost.append({-1: 0.0, 0: 2.0 * total + near[0] * total**2 / 2, 1: (1.0 + ball(len(g), 1)) * total + near[1] * total**2})
-        # least cost by number of partitions done and thresholds spent
+            cost.append({-1: 0.0} | {t: (ball(len(g), t) + (t > 0)) * total + near[t] * total**2 for t in range(3)})
+        # least cost by thresholds spent so far
         state: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
         for c in cost:
             after: dict[int, tuple[float, list[int]]] = {}
@@ -164,39 +166,95 @@ def _masks(group: list[int], radius: int) -> list[int]:
     return [_signed(sum(1 << b for b in c)) for r in range(radius + 1) for c in itertools.combinations(group, r)]
 
 
-def _keys(fp: Column, partitions: list[tuple[list[int], int]], probe: bool) -> Column:
-    """(part, key) structs under which a fingerprint is indexed, or with which it probes."""
-    out = []
-    for i, (group, t) in enumerate(partitions):
-        if t >= 0:
-            base = fp.bitwiseAND(F.lit(_signed(sum(1 << b for b in group))))
-            values = F.transform(F.array(*map(F.lit, _masks(group, t))), lambda m, base=base: base.bitwiseXOR(m)) if probe and t else F.array(base)
-            out.append(F.transform(values, lambda v, i=i: F.struct(F.lit(i).cast("byte").alias("part"), v.alias("key"))))
-    return F.explode(F.concat(*out) if len(out) > 1 else out[0])
+def _keyed(partitions: list[tuple[list[int], int]], probe: bool):
+    """A function from fingerprints to (fp, part, key): the keys each is indexed under and, with ``probe``, also those it probes."""
+    kinds = [(i, np.int64(_signed(sum(1 << b for b in group))), np.array(_masks(group, t if probe else 0), np.int64)) for i, (group, t) in enumerate(partitions) if t >= 0]
+
+    def rows(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                fp = batch.column(0).slice(at, 4096).to_numpy()
+                for i, own, masks in kinds:
+                    key = ((fp & own)[:, None] ^ masks).ravel()
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(fp, len(masks))), pa.array(np.full(len(key), i, np.int32)), pa.array(key)], names=["fp", "part", "key"])
+
+    if probe:
+        def probe_keys(batches):
+            yield from rows(batches)
+
+        return probe_keys
+
+    def index_keys(batches):
+        yield from rows(batches)
+
+    return index_keys
+
+
+def forest(members: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Edges that connect what pairs within the radius connect, one less than there are members at most."""
+    n = len(members)
+    root = list(range(n))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    edges = []
+    for i in range(n - 1):
+        for j in np.flatnonzero(np.bitwise_count(members[i + 1 :] ^ members[i]) <= radius).tolist() if n > 12 else [j for j in range(n - i - 1) if int(members[i] ^ members[i + 1 + j]).bit_count() <= radius]:
+            a, b = top(i), top(i + 1 + j)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                edges.append((i, i + 1 + j))
+    return edges
 
 
 def links(distinct: DataFrame, radius: int = 4, fit_rows: int = 20000, hot: int = 1000) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of fingerprints within the radius.
 
     ``distinct`` has one row per fingerprint, in column ``fp``. ``fit_rows``
-    bounds the sample that partitions and thresholds are fitted on.
+    bounds the sample that partitions and thresholds are fitted on. What meets
+    under a key is verified there, and a spanning forest is all that is
+    returned of it. A key under which more than ``hot`` fingerprints are
+    indexed is left to the points of Hamming space; so what meets under a key
+    is at most ``hot`` times the number of values probed with.
     """
     total = distinct.count()
     sample = distinct.where(shared.unit_hash("fp", seed=9) < min(1.0, fit_rows / max(total, 1))).toArrow().column("fp").to_numpy()
     partitions = plan(np.sort(sample), total, radius)
-    fp = F.col("fp")
-    index = distinct.select(fp.alias("a"), _keys(fp, partitions, False).alias("k")).select("a", "k.part", "k.key")
-    probes = distinct.select(fp.alias("b"), _keys(fp, partitions, True).alias("k")).select("b", "k.part", "k.key")
+    shape = "fp bigint, part int, key bigint"
+    index = distinct.select("fp").mapInArrow(_keyed(partitions, False), shape)
     crowded = shared.materialize(index.groupBy("part", "key").count().where(F.col("count") > hot).select("part", "key"), "hot-buckets")
+    probes = distinct.select("fp").mapInArrow(_keyed(partitions, True), shape)
     dense = None
     if not crowded.isEmpty():
-        dense = shared.materialize(probes.join(crowded, ["part", "key"], "left_semi").select(F.col("b").alias("fp")).distinct(), "hot-fingerprints")
-        index = index.join(crowded, ["part", "key"], "left_anti")
-    # each pair is met from both ends where the threshold is over zero, and once is enough
-    pairs = probes.join(index, ["part", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b")
+        dense = shared.materialize(probes.join(crowded, ["part", "key"], "left_semi").select("fp").distinct(), "hot-fingerprints")
+        probes = probes.join(crowded, ["part", "key"], "left_anti")
+    met = probes.groupBy("part", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
+
+    def verify(batches):
+        for batch in batches:
+            lists = batch.column(0)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            edge = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            size = np.diff(edge)
+            two = edge[:-1][size == 2]
+            two = two[np.bitwise_count(flat[two] ^ flat[two + 1]) <= radius]
+            a, b = [flat[two]], [flat[two + 1]]
+            for k in np.flatnonzero(size > 2):
+                members = flat[edge[k] : edge[k + 1]]
+                for i, j in forest(members, radius):
+                    a.append(members[i : i + 1])
+                    b.append(members[j : j + 1])
+            x, y = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    pairs = met.mapInArrow(verify, "a bigint, b bigint")
     if dense is not None:
         pairs = pairs.union(_through_points(dense, radius))
-    return pairs
+    return pairs.distinct()
 
 
 def _through_points(dense: DataFrame, radius: int) -> DataFrame:
