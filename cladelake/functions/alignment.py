@@ -38,3 +38,42 @@ def edge_mapped(start: Column, end: Column, marker_length: Column, legacy: bool
     ``legacy`` compares the exclusive end with the last position, one short.
     """
     return (start == 0) | (end == (marker_length - 1 if legacy else marker_length))
+
+
+def reconstruct(cigar: Column, start: Column, marker: Column, read: Column) -> Column:
+    """Both strings of an alignment with gaps, clipped bases put back as far as the marker reaches.
+
+    ``start`` is the 0-based place on the marker where the CIGAR's first
+    aligned base lies; ``read`` runs along the marker and holds its clipped
+    bases (hard-clipped ones as N). Returns marker_aln, read_aln and the extents
+    marker_start, marker_end, read_start, read_end, ends exclusive. A skipped
+    reference or a clip, pad or other operation inside the alignment raises.
+    """
+    ops = cigar_ops(cigar)
+    clip = lambda x: F.when(F.get(x, F.lit(0))["op"] == "H", F.get(x, F.lit(0))["n"] + F.when(F.get(x, F.lit(1))["op"] == "S", F.get(x, F.lit(1))["n"]).otherwise(0)).when(F.get(x, F.lit(0))["op"] == "S", F.get(x, F.lit(0))["n"]).otherwise(0)
+    lead, trail = clip(ops), clip(F.reverse(ops))
+    inner = F.regexp_replace(F.regexp_replace(cigar, r"^(\d+H)?(\d+S)?", ""), r"(\d+S)?(\d+H)?$", "")
+    core = F.when(inner.rlike("^([0-9]+[MID=X])+$"), cigar_ops(inner)).otherwise(F.raise_error(F.concat(F.lit("cannot align along "), cigar)))
+    zero = F.struct(start.cast("int").alias("m"), lead.cast("int").alias("r"), F.lit("").alias("x"), F.lit("").alias("y"))
+
+    def step(acc: Column, op: Column) -> Column:
+        n, on_marker, on_read = op["n"], op["op"] != "I", op["op"] != "D"
+        gap = F.repeat(F.lit("-"), n)
+        return F.struct(
+            (acc["m"] + F.when(on_marker, n).otherwise(0)).alias("m"),
+            (acc["r"] + F.when(on_read, n).otherwise(0)).alias("r"),
+            F.concat(acc["x"], F.when(on_marker, F.substring(marker, acc["m"] + 1, n)).otherwise(gap)).alias("x"),
+            F.concat(acc["y"], F.when(on_read, F.substring(read, acc["r"] + 1, n)).otherwise(gap)).alias("y"),
+        )
+
+    body = F.aggregate(core, zero, step)
+    before = F.least(lead, start)
+    after = F.least(trail, F.length(marker) - body["m"])
+    return F.struct(
+        F.concat(F.substring(marker, start - before + 1, before), body["x"], F.substring(marker, body["m"] + 1, after)).alias("marker_aln"),
+        F.concat(F.substring(read, lead - before + 1, before), body["y"], F.substring(read, body["r"] + 1, after)).alias("read_aln"),
+        (start - before).alias("marker_start"),
+        (body["m"] + after).alias("marker_end"),
+        (lead - before).alias("read_start"),
+        (body["r"] + after).alias("read_end"),
+    )

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from cladelake.functions.sequences import kmers, reverse_complement
 
 
-def passes_filter(clip_ok: Column, length: Column, matches: Column, aligned: Column, errors: Column, edge: Column, min_length: int = 35, identity: float = 0.975, error_rate: float = 1.0) -> Column:
-    """Read filter, all bounds strict: identity counts over the aligned part at a marker's edge, over the read elsewhere."""
-    base = F.when(edge, aligned).otherwise(length)
-    return clip_ok & (base > min_length) & (matches / base > identity) & (errors < error_rate * base)
+def passes_filter(ungapped: Column, length: Column, matches: Column, aligned: Column, errors: Column, edge: Column, min_length: int = 35, identity: float = 0.975, error_rate: float = 1.0, min_ungapped: float = 0.5) -> Column:
+    """Read filter, all bounds strict: enough of the read is ungapped and long, few errors are expected, and
+    matches are many of the aligned part where the hit touches a marker's edge, of the whole read elsewhere."""
+    over = F.when(edge, aligned).otherwise(length)
+    return (ungapped / length > min_ungapped) & (length > min_length) & (matches / over > identity) & (errors < error_rate * length)
 
 
 def until_first_pass(df: DataFrame, read: str, order: str, passed: str) -> DataFrame:

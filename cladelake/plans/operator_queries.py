@@ -200,15 +200,15 @@ def symmetrize(spark, sf):
 PASS = "CASE WHEN is_edge THEN aln_len ELSE read_len END"
 
 
-@query(f"SELECT read_id, ord, marker_id FROM fx_aln WHERE {PASS} > 35 AND n_match / cast({PASS} AS double) > 0.975 AND exp_err < 0.01 * {PASS}")
+@query(f"SELECT read_id, ord, marker_id FROM fx_aln WHERE read_len > 120 AND n_match / cast({PASS} AS double) > 0.975 AND exp_err < 0.01 * read_len")
 def filter_reads(spark, sf):
-    ok = ev.passes_filter(F.lit(True), F.col("read_len"), F.col("n_match"), F.col("aln_len"), F.col("exp_err"), F.col("is_edge"), error_rate=0.01)
+    ok = ev.passes_filter(F.col("aln_len"), F.col("read_len"), F.col("n_match"), F.col("aln_len"), F.col("exp_err"), F.col("is_edge"), min_length=120, error_rate=0.01)
     return view(spark, sf, "fx_aln").where(ok).select("read_id", "ord", "marker_id")
 
 
-@query(f"WITH x AS (SELECT *, n_match / cast({PASS} AS double) > 0.985 AND exp_err < 0.01 * {PASS} AS ok FROM fx_aln), y AS (SELECT *, min(CASE WHEN ok THEN ord END) OVER (PARTITION BY read_id) AS f FROM x) SELECT read_id, ord, ok FROM y WHERE f IS NULL OR ord <= f")
+@query(f"WITH x AS (SELECT *, n_match / cast({PASS} AS double) > 0.985 AND exp_err < 0.01 * read_len AS ok FROM fx_aln), y AS (SELECT *, min(CASE WHEN ok THEN ord END) OVER (PARTITION BY read_id) AS f FROM x) SELECT read_id, ord, ok FROM y WHERE f IS NULL OR ord <= f")
 def first_pass_per_read(spark, sf):
-    ok = ev.passes_filter(F.lit(True), F.col("read_len"), F.col("n_match"), F.col("aln_len"), F.col("exp_err"), F.col("is_edge"), identity=0.985, error_rate=0.01)
+    ok = ev.passes_filter(F.col("aln_len"), F.col("read_len"), F.col("n_match"), F.col("aln_len"), F.col("exp_err"), F.col("is_edge"), identity=0.985, error_rate=0.01)
     return ev.until_first_pass(view(spark, sf, "fx_aln").withColumn("ok", ok), "read_id", "ord", "ok").select("read_id", "ord", "ok")
 
 
@@ -448,6 +448,13 @@ def cigar_counts(spark, sf):
     return spark.read.parquet(f"{sf}/events.parquet").select("event_id", *[al.cigar_total(c, k).alias(n) for n, k in (("inserted", "I"), ("deleted", "D"), ("clipped", "SH"))])
 
 
+@query("SELECT seq_id, substr(m, 18, 3) || substr(m, 21, 10) || '--' || substr(m, 31, 15) || substr(m, 46, 2) AS marker_aln, substr(r, 1, 13) || substr(r, 14, 2) || '---' || substr(r, 16, 14) AS read_aln, 17 AS marker_start, 47 AS marker_end FROM (SELECT a.seq_id, a.seq AS m, substr(b.seq, 1, 29) AS r FROM fx_seq a JOIN fx_seq b ON b.seq_id = a.seq_id + 1 WHERE length(a.seq) >= 60 AND length(b.seq) >= 29) x")
+def alignment_reconstruct(spark, sf):
+    both = run(spark, sf, "SELECT a.seq_id, a.seq AS m, substr(b.seq, 1, 29) AS r FROM fx_seq a JOIN fx_seq b ON b.seq_id = a.seq_id + 1 WHERE length(a.seq) >= 60 AND length(b.seq) >= 29")
+    made = al.reconstruct(F.lit("3S10M2I3D12M2S"), F.lit(20), F.col("m"), F.col("r"))
+    return both.select("seq_id", made.alias("x")).select("seq_id", "x.marker_aln", "x.read_aln", "x.marker_start", "x.marker_end")
+
+
 PAIRED = "SELECT a.seq_id, substr(a.seq, 1, 40) AS x, substr(b.seq, 1, 40) AS y FROM fx_seq a JOIN fx_seq b ON b.seq_id = a.seq_id + 1 WHERE length(a.seq) >= 40 AND length(b.seq) >= 40"
 
 

@@ -90,3 +90,12 @@ def test_negative_binomial_sums_to_one(n, p):
 def test_window_lengths_cover_the_longest():
     got = nm.window_lengths(20, 0.5, 10, 100)
     assert got[0][0] == 10 and got[-1][0] == 100
+
+
+def test_reconstruct(spark):
+    got = one(spark, al.reconstruct(F.lit("2H3S4M1I2D2M4S"), F.lit(2), F.lit("ACGTACGTACG"), F.lit("NNTAAGTACTGTCCCC")))
+    assert got.marker_aln == "AC" + "GTAC" + "-" + "GT" + "AC" + "G" and got.read_aln == "AA" + "GTAC" + "T" + "--" + "GT" + "C"
+    assert (got.marker_start, got.marker_end, got.read_start, got.read_end) == (0, 11, 3, 13)
+    for bad in ("4M3N4M", "4M2S4M"):
+        with pytest.raises(PySparkException):
+            one(spark, al.reconstruct(F.lit(bad), F.lit(0), F.lit("ACGTACGTACG"), F.lit("ACGTACGTACG")))
