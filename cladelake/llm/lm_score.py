@@ -143,7 +143,7 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 @dataclass
 class ContextTree:
-    """children[d]: node x byte -> node of depth d + 1 or -1; first[d]: row of depth d's first node; bits: rows x 256 code lengths of the next byte."""
+    """children[d]: node x byte -> node of depth d + 1 or -1; first[d]: row of depth d's first node; bits: rows x 256 code lengths of the next byte, in half precision."""
 
     children: list[np.ndarray]
     first: list[int]
@@ -245,13 +245,13 @@ def grow(levels: list[tuple[np.ndarray, np.ndarray]]) -> ContextTree:
         cost = np.zeros((len(one), 1), np.float32)
         for width in (1, 2, 4, 8, 16, 32, 64, 128):
             p = one[:, width : 2 * width]
-            cost = np.stack((cost - np.log2(1 - p), cost - np.log2(p)), 2).reshape(len(one), -1)
-        rows.append(cost.astype(np.float32))
+            cost = np.stack((cost - np.log2(1 - p), cost - np.log2(p)), 2).reshape(len(one), 2 * width)
+        rows.append(cost.astype(np.float16))
     first = np.concatenate(([0], np.cumsum([len(x) for x in rows])))[:-1].tolist()
     return ContextTree(children, first, np.concatenate(rows))
 
 
-def context_tree(counts: DataFrame, depth: int = 5, nodes: int = 49152) -> ContextTree:
+def context_tree(counts: DataFrame, depth: int = 5, nodes: int = 32768) -> ContextTree:
     """Fetch the nodes' counts, at most ``nodes`` contexts a depth, and grow the tree."""
     coded = counts.where("code is not null")
     total = coded.agg(F.sum("n")).first()[0] or 0
@@ -270,7 +270,7 @@ def context_tree(counts: DataFrame, depth: int = 5, nodes: int = 49152) -> Conte
     return grow(levels)
 
 
-def score(docs: DataFrame, train: DataFrame, text_col: str = "text", keep: list[str] | None = None, depth: int = 5, nodes: int = 49152, common: int = 200_000) -> DataFrame:
+def score(docs: DataFrame, train: DataFrame, text_col: str = "text", keep: list[str] | None = None, depth: int = 5, nodes: int = 32768, common: int = 200_000) -> DataFrame:
     """Score whole texts by a model of the texts of ``train``.
 
     Adds ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``
