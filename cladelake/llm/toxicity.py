@@ -137,15 +137,19 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def logistic_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights of P(y | x), the last column of ``x`` being 1, by Newton's method with a small ridge."""
+def logistic_curve(x: np.ndarray, y: np.ndarray, prior: float) -> np.ndarray:
+    """Weights of P(y | x), the last column of ``x`` being 1, by Newton's method with a small ridge.
+
+    Rows count so that a share ``prior`` of them is positive, as among all labels.
+    """
+    each = np.where(y > 0, prior / max(1, (y > 0).sum()), (1 - prior) / max(1, (y <= 0).sum())) * len(y)
     mean, sd = x[:, :-1].mean(0), x[:, :-1].std(0) + 1e-9
     z, p, ridge = np.column_stack(((x[:, :-1] - mean) / sd, np.ones(len(x)))), np.zeros(x.shape[1]), np.full(x.shape[1], 1e-2)
     ridge[-1] = 1e-6
     for _ in range(50):
         q = sigmoid(z @ p)
-        h = (z * (q * (1 - q))[:, None]).T @ z + np.diag(ridge)
-        p = p - np.linalg.solve(h, z.T @ (q - y) + ridge * p)
+        h = (z * (each * q * (1 - q))[:, None]).T @ z + np.diag(ridge)
+        p = p - np.linalg.solve(h, z.T @ (each * (q - y)) + ridge * p)
     a = p[:-1] / sd
     return np.append(a, p[-1] - a @ mean)
 
@@ -254,7 +258,8 @@ def train(
     fit = shared.map_texts(sample, "text_", ["y_", "key_"], [T.StructField("z", T.ArrayType(T.DoubleType()))], lambda: lambda texts: [pa.array(held.value.summary(texts).tolist(), pa.list_(pa.float64()))]).toArrow().to_pylist()
     fit.sort(key=lambda r: (str(r["key_"]), r["z"], r["y_"]))
     y = np.array([r["y_"] for r in fit], float)
-    model.curve = logistic_curve(np.array([r["z"] for r in fit]), y)
+    share = known.agg(F.avg("y_")).first()[0]
+    model.curve = logistic_curve(np.array([r["z"] for r in fit]), y, share)
     return model
 
 
