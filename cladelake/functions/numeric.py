@@ -28,12 +28,18 @@ def logaddexp(a: Column, b: Column) -> Column:
     return top + F.log1p(F.exp(-F.abs(a - b)))
 
 
-def logsumexp(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+def logsumexp(df: DataFrame, keys: list[str], value: str, out: str, small_groups: bool = False) -> DataFrame:
     """log sum exp of ``value`` by ``keys``; a missing row stands for -inf.
 
-    The maximum by key comes first, so nothing overflows; both aggregates
-    combine on the map side and share one partitioning.
+    The maximum by key comes first, so nothing overflows. By default both
+    aggregates combine on the map side and are joined, for groups of any size.
+    With ``small_groups`` (a few rows a key, where combining saves nothing) the
+    rows are shuffled once: a window finds the maximum and the sum stays in its
+    partitioning.
     """
+    if small_groups:
+        shifted = df.select(*keys, F.col(value).alias("x_"), F.max(value).over(Window.partitionBy(*keys)).alias("top_"))
+        return shifted.groupBy(*keys).agg((F.max("top_") + F.log(F.sum(F.exp(F.col("x_") - F.col("top_"))))).alias(out))
     top = df.groupBy(*keys).agg(F.max(value).alias("top_"))
     return df.join(top, keys).groupBy(*keys).agg((F.max("top_") + F.log(F.sum(F.exp(F.col(value) - F.col("top_"))))).alias(out))
 

@@ -9,9 +9,12 @@ from cladelake.functions.numeric import logsumexp, softmax
 
 
 def lse_matmul(a: DataFrame, b: DataFrame, on: list[str], keys: list[str], a_value: str, b_value: str, out: str = "ll") -> DataFrame:
-    """Log-semiring product: join on the inner index, log-sum-exp over it."""
+    """Log-semiring product: join on the inner index, log-sum-exp over it.
+
+    Few inner indices lead to one cell, so the product's rows are shuffled once.
+    """
     joined = a.join(b, on).withColumn("x_", F.col(a_value) + F.col(b_value)).select(*keys, "x_")
-    return logsumexp(joined, keys, "x_", out)
+    return logsumexp(joined, keys, "x_", out, small_groups=True)
 
 
 def column_normalised_row_sum(df: DataFrame, row: str, col: str, value: str, out: str = "total") -> DataFrame:
@@ -21,9 +24,13 @@ def column_normalised_row_sum(df: DataFrame, row: str, col: str, value: str, out
 
 
 def argmax_vote(df: DataFrame, item: list[str], choice: list[str], value: str) -> DataFrame:
-    """Votes by choice: every choice that attains an item's maximum gets one; choices without votes are absent."""
-    top = df.groupBy(*item).agg(F.max(value).alias("top_"))
-    return df.join(top, item).where(F.col(value) == F.col("top_")).groupBy(*choice).agg(F.count("*").alias("votes"))
+    """Votes by choice: every choice that attains an item's maximum gets one; choices without votes are absent.
+
+    A rank over each item's rows, cut off after the first place, is computed
+    once and limited before the shuffle; ties all have rank one.
+    """
+    place = F.rank().over(Window.partitionBy(*item).orderBy(F.desc(value)))
+    return df.withColumn("place_", place).where("place_ = 1").groupBy(*choice).agg(F.count("*").alias("votes"))
 
 
 def correlation(df: DataFrame, item: list[str], choice: str, value: str) -> DataFrame:
