@@ -127,11 +127,11 @@ def json_extract(spark, sf):
     return events.where(rd.require(F.col("props").isNotNull(), "missing key props")).select("event_id", k.alias("k"), F.coalesce(k, F.lit(-1)).alias("with_default"))
 
 
-@query("SELECT pair_id, cast(count(*) AS bigint) AS mates, max(CASE WHEN is_forward THEN turn END) AS fwd, max(CASE WHEN NOT is_forward THEN turn END) AS rev FROM fx_mate GROUP BY pair_id")
+@query("SELECT pair_id, cast(count(*) AS bigint) AS mates, coalesce(max(CASE WHEN is_forward THEN turn END), -1) AS fwd, coalesce(max(CASE WHEN NOT is_forward THEN turn END), -1) AS rev FROM fx_mate GROUP BY pair_id")
 def mate_prefix(spark, sf):
     ids = view(spark, sf, "fx_mate").select(F.concat(F.col("pair_id").cast("string"), F.when(F.col("is_forward"), "/1").otherwise("/2")).alias("read_id"), "is_forward", "turn")
     prefix = F.regexp_replace("read_id", "/[12]$", "").cast("bigint")
-    return ids.groupBy(prefix.alias("pair_id")).agg(F.count("*").alias("mates"), F.max(F.when(F.col("is_forward"), F.col("turn"))).alias("fwd"), F.max(F.when(~F.col("is_forward"), F.col("turn"))).alias("rev"))
+    return ids.groupBy(prefix.alias("pair_id")).agg(F.count("*").alias("mates"), F.coalesce(F.max(F.when(F.col("is_forward"), F.col("turn"))), F.lit(-1)).alias("fwd"), F.coalesce(F.max(F.when(~F.col("is_forward"), F.col("turn"))), F.lit(-1)).alias("rev"))
 
 
 @query("SELECT i.strain_id, i.s, i.e, i.strand, CASE WHEN i.strand = '-' THEN reverse(translate(substr(q.seq, i.a, i.b - i.a + 1), 'ACGT', 'TGCA')) ELSE substr(q.seq, i.a, i.b - i.a + 1) END AS cut FROM (SELECT *, s % 100 + 1 AS a, s % 100 + 30 AS b FROM fx_interval WHERE ord % 5 = 0) i JOIN fx_seq q ON q.seq_id = i.strain_id WHERE length(q.seq) >= i.b")

@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from cladelake.plans import registry
@@ -19,7 +20,7 @@ def db(sf):
 def rows(df):
     df = df[sorted(df.columns)]
     number = (int, float, np.integer, np.floating)
-    plain = lambda x: None if x is None or x != x else float(x) if isinstance(x, number) and not isinstance(x, bool) else x
+    plain = lambda x: None if pd.isna(x) else float(x) if isinstance(x, number) and not isinstance(x, bool) else x
     return sorted((tuple(map(plain, r)) for r in df.itertuples(index=False)), key=repr)
 
 
