@@ -273,22 +273,23 @@ def _through_points(dense: DataFrame, radius: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4, seed: int = 42, hot: int = 1000) -> DataFrame:
     """Fingerprint and group of each document.
 
-    Returns the id column, ``simhash`` and ``component_id``, the smallest id
-    in the document's component of links.
+    Returns the id column, ``simhash``, ``component_id``, the smallest id in
+    the document's component of links, and ``root``, the component's smallest
+    fingerprint (signed): ids may repeat or be absent, roots tell components apart.
     """
     prints = fingerprints(docs, text_col, [id_col], shingle, seed).withColumnRenamed(id_col, "id_")
     prints = shared.materialize(prints, "simhash")
     smallest = shared.materialize(prints.groupBy(F.col("simhash").alias("fp")).agg(F.min("id_").alias("least_")), "simhash-distinct")
     found = shared.materialize(links(smallest.select("fp"), radius, hot=hot), "simhash-links")
     if found.isEmpty():
-        group = smallest.select("fp", F.col("least_").alias("component_id"))
+        group = smallest.select("fp", F.col("fp").alias("root"), F.col("least_").alias("component_id"))
     else:
         roots = components(found)
         rooted = smallest.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "least_")
         least = rooted.groupBy("root").agg(F.min("least_").alias("component_id"))
-        linked = rooted.join(least, "root").select("fp", F.col("component_id").alias("linked_"))
-        group = smallest.join(linked, "fp", "left").select("fp", F.coalesce("linked_", "least_").alias("component_id"))
-    return prints.join(group.withColumnRenamed("fp", "simhash"), "simhash").select(F.col("id_").alias(id_col), "simhash", "component_id")
+        linked = rooted.join(least, "root").select("fp", "root", F.col("component_id").alias("linked_"))
+        group = smallest.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least_")).otherwise(F.col("linked_")).alias("component_id"))
+    return prints.join(group.withColumnRenamed("fp", "simhash"), "simhash").select(F.col("id_").alias(id_col), "simhash", "component_id", "root")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
