@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cladelake.llm import decontamination, language_id, mixing, shared, simhash, toxicity
 
@@ -44,20 +45,24 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates the document with the smallest id stays.
 
-    Only ids of documents that go are joined with the texts. Repeats of an id
-    count as one document; of documents without an id one stays for each
-    component that has no id at all.
+    Where ids tell documents apart, only ids of documents that go are joined
+    with the texts. Ids that repeat or are absent are no keys: there each
+    component keeps its smallest id (none comes last) and, of its rows with
+    that id, the one with the smallest fingerprint, then the smallest values.
     """
     found = shared.materialize(simhash.near_duplicates(docs), "dedup")
-    go = found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(go, "doc_id", "left_anti").select(*docs.columns)
-    odd = found.where("doc_id is null or doc_id = component_id").groupBy("doc_id", "simhash").count().where("count > 1 or doc_id is null")
-    if not odd.isEmpty():
-        without = docs.where("doc_id is null")
-        lone = found.where("component_id is null").select("simhash").distinct()
-        without = simhash.fingerprints(without, keep=docs.columns).join(lone, "simhash", "left_semi").dropDuplicates(["simhash"]).select(*docs.columns)
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(without)
-    return kept
+    if found.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        go = found.where("doc_id <> component_id").select("doc_id")
+        return docs.join(go, "doc_id", "left_anti").select(*docs.columns)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "simhash"))
+    kept = found.groupBy("root").agg(first.alias("first")).select(F.col("first.doc_id").alias("id_"), F.col("first.simhash").alias("fp_"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    place = dict(zip(docs.columns, names, strict=True))
+    marked = simhash.fingerprints(docs.toDF(*names), place["text"], names)
+    rows = marked.join(kept, F.col(place["doc_id"]).eqNullSafe(F.col("id_")) & (F.col("simhash") == F.col("fp_")))
+    ordered = [n for n, f in zip(names, docs.schema, strict=True) if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    one = rows.groupBy("id_", "fp_").agg(F.min_by(F.struct(*names), F.struct(*ordered)).alias("row"))
+    return one.select(*[F.col(f"row.{n}").alias(c) for c, n in place.items()])
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
