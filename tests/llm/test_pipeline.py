@@ -36,6 +36,15 @@ def test_dedup_of_repeats_and_missing_ids(spark):
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == ["3", "9", "None"]
 
 
+def test_dedup_tells_documents_with_one_id_apart(spark):
+    """An id that stands for two texts: the group it leads must not go with the group it is a copy in."""
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    a, b = "the first of two texts under one id", "and the second which has nothing in common"
+    rows = [(5, a, "en", "x", 1), (9, a, "en", "x", 2), (5, b, "en", "x", 3), (3, b, "en", "x", 4), (7, a + " " + b, "en", "x", 5), (7, b + " then " + a, "en", "x", 6)]
+    kept = cp.stage_near_dedup(spark, spark.createDataFrame(rows, schema), "")
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(5, a), (3, b), (7, a + " " + b), (7, b + " then " + a)])
+
+
 def test_decontamination_drops_hits_only(spark, sf):
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     hit = {r[0] for r in decontamination.search(docs, bench).where("n_hit > 0").select("doc_id").collect()}
