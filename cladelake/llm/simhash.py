@@ -13,7 +13,8 @@ Distinct fingerprints are sent to the keys of their bits in each partition and
 to all keys within the threshold; what meets under a key is verified on all 64
 bits, and only a spanning forest of it is kept.
 
-Exact copies share a fingerprint and never meet. A bucket of more than ``hot``
+Exact copies share a fingerprint and never meet; fingerprints that many
+documents share are told their group by broadcast, not in one task. A bucket of more than ``hot``
 distinct fingerprints is left out; fingerprints that touch one are linked through the points of Hamming space within half the
 radius: two fingerprints have such a point in common if and only if they are
 within the radius, so each point links its fingerprints to the smallest one.
@@ -41,6 +42,8 @@ from cladelake.llm.components import components
 
 #: Bytes of a long text that are shingled at a time.
 PIECE = 1 << 20
+#: A fingerprint that 1/OFTEN of all documents share, so one of OFTEN at most, gets its group from a broadcast.
+OFTEN = 1000
 
 
 def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
@@ -279,17 +282,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = fingerprints(docs, text_col, [id_col], shingle, seed).withColumnRenamed(id_col, "id_")
     prints = shared.materialize(prints, "simhash")
-    smallest = shared.materialize(prints.groupBy(F.col("simhash").alias("fp")).agg(F.min("id_").alias("least_")), "simhash-distinct")
+    counted = prints.groupBy(F.col("simhash").alias("fp")).agg(F.min("id_").alias("least_"), F.count("*").alias("n_"))
+    smallest = shared.materialize(counted, "simhash-distinct")
     found = shared.materialize(links(smallest.select("fp"), radius, hot=hot), "simhash-links")
     if found.isEmpty():
-        group = smallest.select("fp", F.col("fp").alias("root"), F.col("least_").alias("component_id"))
+        group = smallest.select("fp", F.col("fp").alias("root"), F.col("least_").alias("component_id"), "n_")
     else:
         roots = components(found)
         rooted = smallest.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "least_")
         least = rooted.groupBy("root").agg(F.min("least_").alias("component_id"))
         linked = rooted.join(least, "root").select("fp", "root", F.col("component_id").alias("linked_"))
-        group = smallest.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least_")).otherwise(F.col("linked_")).alias("component_id"))
-    return prints.join(group.withColumnRenamed("fp", "simhash"), "simhash").select(F.col("id_").alias(id_col), "simhash", "component_id", "root")
+        group = smallest.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least_")).otherwise(F.col("linked_")).alias("component_id"), "n_")
+    group = shared.materialize(group.withColumnRenamed("fp", "simhash"), "simhash-groups")
+    often = F.col("n_") * OFTEN >= prints.count()
+    few = F.broadcast(group.where(often).drop("n_"))
+    rest = prints.join(few.select("simhash"), "simhash", "left_anti").join(group.where(~often).drop("n_"), "simhash")
+    return prints.join(few, "simhash").unionByName(rest).select(F.col("id_").alias(id_col), "simhash", "component_id", "root")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
