@@ -44,6 +44,8 @@ from cladelake.llm.components import components
 PIECE = 1 << 20
 #: A fingerprint that 1/OFTEN of all documents share, so one of OFTEN at most, gets its group from a broadcast.
 OFTEN = 1000
+#: Fingerprints whose probes one task makes, as far as shuffle partitions allow.
+PROBE_ROWS = 10_000
 
 
 def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
@@ -230,7 +232,9 @@ def links(distinct: DataFrame, radius: int = 4, fit_rows: int = 20000, hot: int
     shape = "fp bigint, part int, key bigint"
     index = distinct.select("fp").mapInArrow(_keyed(partitions, False), shape)
     crowded = shared.materialize(index.groupBy("part", "key").count().where(F.col("count") > hot).select("part", "key"), "hot-buckets")
-    probes = distinct.select("fp").mapInArrow(_keyed(partitions, True), shape)
+    # a row makes dozens of probes, so a file of fingerprints is more than one task should take
+    tasks = min(-(-total // PROBE_ROWS), int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    probes = distinct.select("fp").repartition(max(tasks, 1), "fp").mapInArrow(_keyed(partitions, True), shape)
     dense = None
     if not crowded.isEmpty():
         dense = shared.materialize(probes.join(crowded, ["part", "key"], "left_semi").select("fp").distinct(), "hot-fingerprints")
