@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladelake.functions.numeric import logsumexp, softmax
+from cladelake.operators.ranking import global_rank
 
 
 def lse_matmul(a: DataFrame, b: DataFrame, on: list[str], keys: list[str], a_value: str, b_value: str, out: str = "ll") -> DataFrame:
@@ -57,4 +58,4 @@ def correlation(df: DataFrame, item: list[str], choice: str, value: str) -> Data
 def dense_index(df: DataFrame, key: str, order: str, out: str = "idx") -> DataFrame:
     """Number the distinct keys from 0 by first appearance, ties by key."""
     first = df.groupBy(key).agg(F.min(order).alias("first_"))
-    return first.withColumn(out, F.row_number().over(Window.orderBy("first_", key)) - 1).drop("first_")
+    return global_rank(first, ["first_", key], out).withColumn(out, F.col(out) - 1).drop("first_")

@@ -16,6 +16,7 @@ from cladelake.operators import cluster as cl
 from cladelake.operators import evidence as ev
 from cladelake.operators import inference as inf
 from cladelake.operators import intervals as iv
+from cladelake.operators import ranking as rk
 from cladelake.operators import sparse as sp
 from cladelake.plans.fixtures import run, view
 from cladelake.sources import readers as rd
@@ -118,8 +119,20 @@ def prune_reads(spark, sf):
     return hit.where("ll > -100").join(alive, ["t", "read_id"], "left_semi").groupBy("t", "read_id").agg(F.count("*").alias("n"))
 
 
+@query("SELECT doc_id, n_chars FROM (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars, doc_id) AS r, count(*) OVER () AS n FROM documents) x WHERE n <= 100 OR (r - 1) % cast(floor(n / 100) AS bigint) = 0")
+def thin_sorted(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "n_chars")
+    step = max(docs.count() // 100, 1)
+    return rk.global_rank(docs, ["n_chars", "doc_id"]).where((F.col("place") - 1) % step == 0).drop("place")
+
+
 # ---- sources
 
+@query("SELECT sample_id, t, cast(row_number() OVER (ORDER BY t, sample_id) AS bigint) AS place FROM fx_sample")
+def catalog_sorted(spark, sf):
+    return rk.global_rank(view(spark, sf, "fx_sample").select("sample_id", "t"), ["t", "sample_id"])
+
+
 @query("SELECT event_id, k, coalesce(k, -1) AS with_default FROM fx_json")
 def json_extract(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet")

@@ -6,7 +6,6 @@ from __future__ import annotations
 TEXTS: dict[str, str] = {
     # sources and sinks
     "scan_catalog": "SELECT sample_id, cast(t AS double) AS t, cast(sample_name AS string) AS sample, depth, read_type FROM fx_sample WHERE read_type IN ('single', 'paired_1', 'paired_2')",
-    "catalog_sorted": "SELECT sample_id, t, cast(row_number() OVER (ORDER BY t, sample_id) AS bigint) AS place FROM fx_sample",
     "union_refs": "SELECT genus, species, cast(count(*) AS bigint) AS n FROM (SELECT genus, species, strain_id FROM fx_strain WHERE strain_id % 2 = 0 UNION ALL SELECT genus, species, strain_id FROM fx_strain WHERE strain_id % 3 = 0) u GROUP BY genus, species",
     "dedup_paired": "SELECT min(c_custkey) AS custkey, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 50 = 0) GROUP BY c_nationkey",
     "orphan_markers": "SELECT l_partkey AS marker_id, l_suppkey AS source, cast(count(*) AS bigint) AS n FROM lineitem LEFT ANTI JOIN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 10 <> 3) k ON l_suppkey = s_suppkey GROUP BY l_partkey, l_suppkey",
@@ -24,7 +23,6 @@ TEXTS: dict[str, str] = {
     "hits_per_read": "SELECT t, round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS sd FROM (SELECT t, read_id, count(*) AS n FROM fx_hit GROUP BY t, read_id) x GROUP BY t",
     "marker_fraction": "SELECT s.genus, round(avg(m.len / cast(s.genome_len AS double)), 9) AS fraction FROM (SELECT strain_id, cast(sum(e - s + 1) AS double) AS len FROM fx_interval GROUP BY strain_id) m JOIN fx_strain s ON s.strain_id = m.strain_id GROUP BY s.genus",
     # order
-    "thin_sorted": "SELECT doc_id, n_chars FROM (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars, doc_id) AS r, count(*) OVER () AS n FROM documents) x WHERE n <= 100 OR (r - 1) % cast(floor(n / 100) AS bigint) = 0",
     "top2_per_read": "SELECT t, read_id, strain_id, ll FROM (SELECT t, read_id, strain_id, ll, row_number() OVER (PARTITION BY t, read_id ORDER BY ll DESC, strain_id, ord) AS r FROM fx_hit) x WHERE r <= 2",
     "longest_marker": "SELECT strain_id, gene, s, e FROM (SELECT *, row_number() OVER (PARTITION BY strain_id, gene ORDER BY e - s DESC, ord, read_id) AS r FROM fx_interval) x WHERE r = 1",
     "closest_len": "SELECT strain_id, s, e, cast(abs(e - s - 100) AS bigint) AS off FROM (SELECT *, row_number() OVER (PARTITION BY strain_id ORDER BY abs(e - s - 100), ord, read_id) AS r FROM fx_interval WHERE abs(e - s - 100) <= 10) x WHERE r = 1",

@@ -9,6 +9,7 @@ from cladelake.operators import cluster as cl
 from cladelake.operators import evidence as ev
 from cladelake.operators import inference as inf
 from cladelake.operators import intervals as iv
+from cladelake.operators import ranking
 from cladelake.operators import sparse as sp
 
 
@@ -181,3 +182,19 @@ def test_partitions_do_not_change_results(spark, sf, parts):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got == sorted(map(tuple, oq.interval_merge(spark, sf).collect()))
+
+
+@pytest.mark.parametrize("range_rows", [7, 50, 10**6])
+def test_global_rank_by_ranges(spark, range_rows):
+    rng = np.random.default_rng(4)
+    rows = [(None if x % 11 == 0 else int(x % 23), f"k{y:03d}") for x, y in rng.integers(0, 400, (600, 2))] + [(5, "k000")] * 200
+    df = spark.createDataFrame(rows, "a int, b string")
+    got = ranking.global_rank(df, ["a", "b"], range_rows=range_rows).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(1, len(rows) + 1))
+    assert [(r.a, r.b) for r in got] == sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+
+
+def test_global_rank_of_nothing_and_one_value(spark):
+    assert ranking.global_rank(spark.createDataFrame([], "a int"), ["a"], range_rows=5).count() == 0
+    same = ranking.global_rank(spark.createDataFrame([(None,)] * 40, "a int"), ["a"], range_rows=5)
+    assert sorted(r.place for r in same.collect()) == list(range(1, 41))
