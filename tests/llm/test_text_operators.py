@@ -422,6 +422,40 @@ def test_context_tree_equals_the_definition(spark):
         assert got == pytest.approx(plain_tree_bits(train, text, 2), rel=2e-3)
 
 
+def lm_bits(spark, train, texts, **how):
+    docs = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "i int, text string")
+    rows = lm_score.score(docs, spark.createDataFrame([(t.decode(),) for t in train], "text string"), **how).toPandas().sort_values("i")
+    return (-rows.score / np.log10(2)).tolist()
+
+
+def test_distributed_tree_equals_the_definition(spark):
+    train, texts = [b"abab", b"abba", b"ba"], [b"ab", b"", b"abz", b"bb", b"babab" * 9]
+    for depth in (0, 1, 2, 4):
+        assert lm_bits(spark, train, texts, depth=depth, least=1, chunk=3) == pytest.approx([plain_tree_bits(train, t, depth) for t in texts], rel=1e-5)
+
+
+def test_rare_contexts_stay_nodes_however_large_the_corpus(spark):
+    rare = [b"quick zebra jumps", b"zebra", b"jumping fox"]
+    train = [b"abcab" * 40000, rare[0], rare[0]]
+    counts = lm_score.corpus_counts(spark.createDataFrame([(t.decode(),) for t in train], "text string"), "text", 5)
+    total = sum(len(t) + 1 for t in train)
+    dense = lm_score.context_tree(counts, 5, total // 2 + 1)
+    want = [dense.code_lengths(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for t in rare]
+    assert lm_bits(spark, train, rare) == pytest.approx(want, rel=2e-3)
+
+
+def test_text_grams_of_parts_equal_the_whole(monkeypatch):
+    texts = ["", "ab", "x" * 300, "", "caf\u00e9 " * 30]
+    data, offsets = shared.buffers(pa.array(texts))
+    want = [lm_score.grams(data[a:b], 5) for a, b in zip(offsets[:-1], offsets[1:])]
+    monkeypatch.setattr(lm_score, "PIECE", 16)
+    got = [np.zeros(0, np.int64)] * len(texts)
+    for a, size, code in lm_score.text_grams(data, offsets, 5):
+        for k, part in enumerate(np.split(code, np.cumsum(size)[:-1])):
+            got[a + k] = np.concatenate((got[a + k], part))
+    assert all(np.array_equal(x, y) for x, y in zip(got, want))
+
+
 def test_next_byte_probabilities_sum_to_one(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(50)
     tree = lm_score.context_tree(lm_score.corpus_counts(docs, "text", 3), 3, 500)
