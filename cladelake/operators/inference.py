@@ -307,11 +307,33 @@ def fit_generalised_pareto(x: np.ndarray) -> tuple[float, float]:
     return float(shape), float(-shape / best)
 
 
+def tail_size(n: int) -> int:
+    """How many of n weights are the tail."""
+    return int(min(0.2 * n, 3 * math.sqrt(n)))
+
+
+def psis_shape(weights: DataFrame, log_weight: str) -> tuple[int, float]:
+    """(number of log weights, shape of their tail), as ``psis`` has it; nulls are no weights.
+
+    All rows are counted and ranked on the executors; the tail, three times the
+    root of their number, comes to the driver.
+    """
+    lw = weights.select(F.col(log_weight).cast("double").alias("v")).where("v is not null")
+    n = lw.count()
+    tail = tail_size(n)
+    if tail < 5:
+        return n, math.inf
+    most = np.array([r[0] for r in lw.orderBy(F.desc("v")).limit(tail + 1).collect()])[::-1]
+    most -= most[-1]
+    top = np.exp(most[1:]) - math.exp(most[0])
+    return n, fit_generalised_pareto(top)[0] if (top > 0).all() else math.inf
+
+
 def psis(log_weights: np.ndarray) -> tuple[np.ndarray, float]:
     """Smoothed, normalised log weights and the tail's shape: the largest weights give way to quantiles of a fitted Pareto tail."""
     lw = np.asarray(log_weights, float) - np.max(log_weights)
     n = len(lw)
-    tail = int(min(0.2 * n, 3 * math.sqrt(n)))
+    tail = tail_size(n)
     order = np.argsort(lw, kind="stable")
     shape = math.inf
     if tail >= 5:

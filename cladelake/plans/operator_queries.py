@@ -606,8 +606,8 @@ def posterior_abundance(spark, sf):
 
 @query()
 def psis_tail(spark, sf):
-    lw = [r[0] for r in run(spark, sf, "SELECT value / 20 AS v FROM fx_series ORDER BY sample_no LIMIT 2000").collect()]
-    _, k = inf.psis(lw)
+    """Shape of the tail of all events' weights."""
+    _, k = inf.psis_shape(run(spark, sf, "SELECT value / 20 AS v FROM fx_series"), "v")
     return spark.createDataFrame([(float(k),)], "shape double")
 
 

@@ -164,6 +164,16 @@ def test_psis_smooths_the_tail():
     assert np.exp(out).sum() == pytest.approx(1) and k == pytest.approx(0.3, abs=0.15)
 
 
+def test_psis_tail_is_of_all_events(spark, tmp_path):
+    from cladelake.plans.operator_queries import psis_tail
+
+    rng = np.random.default_rng(1)
+    value = np.concatenate((rng.exponential(4.0, 2000), rng.exponential(16.0, 4000)))
+    spark.createDataFrame([(i, "2024-01-01", 1, "view", float(v)) for i, v in enumerate(value)], "event_id bigint, ts string, user_id bigint, event_type string, value double").selectExpr("event_id", "cast(ts as timestamp) as ts", "user_id", "event_type", "value").write.parquet(f"{tmp_path}/events.parquet")
+    assert psis_tail(spark, str(tmp_path)).first()[0] == pytest.approx(inf.psis(value / 20)[1], rel=1e-9)
+    assert inf.psis_shape(spark.createDataFrame([(1.0,), (None,)], "v double"), "v") == (1, np.inf)
+
+
 def test_hellinger_of_equal_profiles_is_zero(spark):
     p = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.5), (2, "a", 1.0)], "t int, s string, v double")
     q = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.5), (2, "b", 1.0)], "t int, s string, v double")
