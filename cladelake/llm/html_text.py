@@ -8,7 +8,8 @@ smoothness edges that weaken with their distance in the document tree. The
 minimum cut, found by max-flow, is the cheapest labelling.
 
 Null and empty pages, and pages without a block of content, give an empty
-text. Markup may be broken: unclosed, unopened or cut-off tags are borne.
+text. Markup may be broken: unclosed, unopened or cut-off tags are borne; only
+an unclosed comment or raw-text element (script, style, ...) takes the rest.
 Repeated rows give repeated results; an empty table gives an empty result.
 Input columns that clash with an output give way to it.
 """
@@ -30,12 +31,15 @@ from cladelake.llm import shared
 
 OUTPUTS = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_blocks", T.IntegerType()), T.StructField("n_kept", T.IntegerType())]
 
-#: Comments, elements whose inside is no text, tags (quoted values may hold >), tags cut off by the end.
+#: Comments, raw-text elements, tags (quoted values may hold >), tags cut off by the end.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|object|title|select|button|math|canvas|audio|video)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|textarea|iframe|title)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
+#: Other elements whose inside is no text; without a close tag only their open tag is skipped. Those of ``ALONE`` hold none of their kind.
+ALONE = {t: re.compile(rf"<(?:(/){t}\s*>|{t}(?=[\s/>]))", re.I) for t in "button select canvas audio video".split()}
+CLOSED = ALONE | {t: re.compile(rf"<(/){t}\s*>", re.I) for t in "svg math object template".split()}
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 SPACED = frozenset("br img td th input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -107,7 +111,8 @@ def blocks_of(page: str) -> list[Block]:
         if stack[-1][4]:
             linked += len(raw.strip())
 
-    for m in TOKEN.finditer(page):
+    unclosed = set()
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
@@ -115,6 +120,15 @@ def blocks_of(page: str) -> list[Block]:
         if tag is None:
             continue  # a comment, a declaration or an element without text
         tag = tag.lower()
+        if tag in CLOSED and not close:
+            empty = tag in ("svg", "math") and attrs.endswith("/")
+            if not empty and tag not in unclosed:
+                end = CLOSED[tag].search(page, at)
+                if end is None:
+                    unclosed.add(tag)
+                elif end[1]:
+                    at = end.end()
+            continue
         inline = tag in INLINE
         if tag in SPACED:
             parts.append(" ")

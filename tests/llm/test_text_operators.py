@@ -77,6 +77,17 @@ def test_main_text_of_a_page():
         assert html_text.main_text(page)[0] in ("", "<<>>")
 
 
+@pytest.mark.parametrize("tag", ['<svg width="5" viewBox="0 0 1 1"/>', "<MATH />", "<button>", "<video src=x>", "<object>", "<select>", "<svg><path/></svg>", "<button>gone</button>", "<template>gone</template>"])
+@pytest.mark.parametrize("after", ["", "<button>gone</button>", "<video>gone</video>"])
+def test_text_after_empty_and_unclosed_elements_stays(tag, after):
+    text = "Some long text of an article which goes on, and on, until it ends."
+    assert [b.text for b in html_text.blocks_of(f"<body>{tag}<article><p>{text}</p></article>{after}</body>")] == [text]
+
+
+def test_raw_text_without_end_takes_the_rest():
+    assert html_text.blocks_of("<script>if (a < b) <p>no</p>") == [] == html_text.blocks_of("<style><p>no</p>")
+
+
 def test_min_cut_is_the_best_labelling():
     rng = np.random.default_rng(0)
     for _ in range(60):
