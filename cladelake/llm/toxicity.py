@@ -214,13 +214,12 @@ def embed(windows: list[bytes], y: np.ndarray, bits: int, dim: int, epochs: int,
 
 def train(
     docs: DataFrame, labels: DataFrame, text_col: str = "text", key_col: str = "doc_id", label_col: str = "toxic",
-    per_class: int = 1000, per_doc: int = 96, window: int = 3, bits: int = 16, dim: int = 8, epochs: int = 5,
+    per_class: int = 1000, window: int = 3, bits: int = 16, dim: int = 8, epochs: int = 5,
 ) -> SubwordModel:
     """Fit on at most about ``per_class`` labelled documents of each kind.
 
-    Of each, ``per_doc`` windows at most, spread over the whole text, come to
-    the driver for the embeddings; the curve uses the whole texts, scored on
-    the executors.
+    All windows of each come to the driver for the embeddings; the curve uses
+    the whole texts, scored on the executors.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(key_col).isNotNull()).select(key_col, F.col(label_col).cast("int").alias("y_")).distinct()
     few = F.broadcast(shared.stratified(known, "y_", key_col, per_class).select(F.col(key_col).alias("key_"), "y_"))
@@ -232,8 +231,7 @@ def train(
             out = []
             for i in range(len(texts)):
                 words = WORD_BYTES[data[offsets[i] : offsets[i + 1]]].tobytes().split()
-                parts = [b" ".join(words[j : j + window]) for j in range(0, len(words), window)]
-                out.append(parts if len(parts) <= per_doc else [parts[int(j)] for j in np.linspace(0, len(parts) - 1, per_doc)])
+                out.append([b" ".join(words[j : j + window]) for j in range(0, len(words), window)])
             return [pa.array(out, pa.list_(pa.binary()))]
 
         return step

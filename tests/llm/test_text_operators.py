@@ -332,6 +332,15 @@ def test_long_texts_score_in_pieces_as_a_whole(monkeypatch):
     assert np.allclose(whole, np.concatenate([model.summary(texts.slice(i, 1)) for i in range(len(texts))]))
 
 
+def test_toxicity_learns_from_all_windows_of_long_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "embed", lambda windows, y, *a, f=toxicity.embed: (seen.extend(windows), f(windows, y, *a))[1])
+    texts = [" ".join(f"w{i}x{j}" for j in range(900)) for i in range(4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id bigint, toxic int"), epochs=1)
+    assert {w for x in seen for w in x.decode().split()} >= set(" ".join(texts).split())
+
+
 # ---- op7
 
 def test_url_lookup_equals_the_join(spark, sf):
