@@ -1,7 +1,8 @@
 """Variational abundance inference: parameters on the driver, data passes on the cluster.
 
-The posterior of the latent log-abundances is Gaussian by strain (a random walk
-over times), with a Gumbel-softmax switch for strains that are absent. Each
+The prior of the latent log-abundances is a random walk over times by strain;
+their posterior is Gaussian with a scale of its own for each time and strain and
+no covariance, with a Gumbel-softmax switch for strains that are absent. Each
 step needs, of the data, the value and gradient of
 
     sum over reads of log sum_s exp(log y_s + ll[s, r])
