@@ -179,6 +179,15 @@ def identify(docs: DataFrame, model: EcocModel | None, text_col: str = "text", k
     return shared.map_texts(docs, text_col, keep if keep is not None else docs.columns, OUTPUTS, make)
 
 
+def with_letter(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows whose text has a letter, as ``identify`` sees it."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text = names[docs.columns.index(text_col)]
+    seen = T.StructField("seen_", T.BooleanType())
+    marked = shared.map_texts(docs.toDF(*names), text, names, [seen], lambda: lambda texts: [[bool(t) and LETTER.search(t) is not None for t in texts.to_pylist()]])
+    return marked.where("seen_").select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language; learned where crc32(doc_id) mod 4 is not 2."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

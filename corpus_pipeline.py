@@ -36,9 +36,12 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents without a recognisable language (null, blank, no letter) go.
 
     Ambiguous ones stay: ambiguity between languages that are all wanted is no
-    reason to lose a clean document.
+    reason to lose a clean document. If no row to learn from has a language,
+    all texts with a letter stay.
     """
     model = language_id.train(docs.where(~shared.is_remainder("doc_id", 4, 2) & F.col("doc_id").isNotNull()))
+    if model is None:
+        return language_id.with_letter(docs)
     return language_id.identify(docs, model, keep=docs.columns).where(F.col("lang_pred") != language_id.UND).select(*docs.columns)
 
 

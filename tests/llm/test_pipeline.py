@@ -58,3 +58,8 @@ def test_stages_take_odd_and_empty_tables(spark, sf, name, stage):
     odd = docs.limit(30).union(docs.limit(5)).union(docs.limit(3).select(*[F.lit(None).cast(t).alias(c) for c, t in docs.dtypes]))
     assert stage(spark, odd, sf).count() > 0
     assert stage(spark, docs.where("false"), sf).count() == 0
+
+
+def test_language_stage_without_a_model_keeps_texts_with_letters(spark, sf):
+    docs = spark.createDataFrame([(1, "plain words", None), (2, "123 !", None), (3, None, None), (4, "\u00e9", None)], "doc_id bigint, text string, lang string")
+    assert sorted(r.doc_id for r in cp.stage_language(spark, docs, sf).collect()) == [1, 4]
