@@ -226,6 +226,29 @@ def test_links_join_what_brute_force_joins(spark, hot, radius):
     assert len(set(zip(mine, want))) == len(set(mine)) == len(set(want))
 
 
+def test_crowd_of_near_copies_gives_few_edges(spark):
+    rng = np.random.default_rng(8)
+    centre = int(rng.integers(0, 1 << 63))
+    prints = {centre ^ sum(1 << int(f) for f in rng.choice(63, int(rng.integers(0, 5)), replace=False)) for _ in range(12000)}
+    df = spark.createDataFrame([(p,) for p in prints], "fp bigint")
+    edges = shared.materialize(simhash.links(df), "crowd")
+    assert len(prints) > 5000 and edges.count() <= 2 * len(prints)
+    found = {r.node: r.root for r in components.components(edges).collect()}
+    assert set(found.values()) == {min(found)}
+    near = np.array(sorted(prints), np.uint64)
+    alone = [p for p in prints if p not in found]
+    assert all((np.bitwise_count(near ^ np.uint64(p)) <= 4).sum() == 1 for p in alone)
+
+
+@pytest.mark.parametrize("shape", ["path", "star", "two rings", "none"])
+def test_components_of_plain_shapes(spark, shape):
+    n = 300
+    pairs = {"path": [(i, i + 1) for i in range(n)], "star": [(7, i) for i in range(n)], "two rings": [(i, (i + 2) % n) for i in range(n)], "none": []}[shape]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+    want = {"path": {i: 0 for i in range(n + 1)}, "star": {i: 0 for i in range(n)}, "two rings": {i: i % 2 for i in range(n)}, "none": {}}[shape]
+    assert got == want
+
+
 def test_plan_thresholds_obey_the_principle():
     rng = np.random.default_rng(1)
     for total in (10, 10**5, 10**9):
