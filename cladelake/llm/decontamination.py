@@ -3,7 +3,8 @@
 Patterns are the windows of ``window`` consecutive words of each benchmark
 item; an item of fewer words is one pattern. For each pattern length a table
 gives, for a block of two words, how far the search may jump; a block that ends
-a pattern selects a bucket of patterns, which are compared word by word.
+a pattern selects a bucket of patterns, the block before them, where a pattern
+would start, those of the bucket that are compared word by word.
 
 Words: A-Z lower-cased, then runs of ASCII letters, digits and anything beyond
 ASCII. Null or blank texts have no words and no hits; items without words hit
@@ -31,7 +32,7 @@ WORD_BYTES = bytes(next((to + b - lo for lo, hi, to in _ranges if lo <= b < hi),
 #: Bytes of a long text that are split into words at a time.
 PIECE = 1 << 20
 SPAN = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))
-OUTPUTS = [T.StructField("n_words", T.LongType()), T.StructField("spans", SPAN), T.StructField("items", T.ArrayType(T.LongType()))]
+OUTPUTS = [T.StructField("n_words", T.LongType()), T.StructField("spans", SPAN), T.StructField("items", T.ArrayType(T.StringType()))]
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -44,7 +45,7 @@ class PatternGroup:
     def __init__(self, length: int) -> None:
         self.length, self.block = length, min(2, length)
         self.shift: dict = {}
-        self.buckets: dict = defaultdict(list)
+        self.buckets: dict = defaultdict(lambda: defaultdict(list))
 
     def key(self, words: list[bytes], end: int):
         return (words[end - 1], words[end]) if self.block == 2 else words[end]
@@ -53,7 +54,7 @@ class PatternGroup:
         for end in range(self.block - 1, self.length):
             key, jump = self.key(pattern, end), self.length - 1 - end
             self.shift[key] = min(self.shift.get(key, jump), jump)
-        self.buckets[self.key(pattern, self.length - 1)].append((pattern, items))
+        self.buckets[self.key(pattern, self.length - 1)][self.key(pattern, self.block - 1)].append((pattern, items))
 
     def find(self, words: list[bytes], mark: bytearray, items: set) -> None:
         """Mark the words inside occurrences and collect their items."""
@@ -66,14 +67,14 @@ class PatternGroup:
                 at += jump
                 continue
             seen = words[at - m + 1 : at + 1]
-            for pattern, owners in self.buckets[key]:
+            for pattern, owners in self.buckets[key].get(self.key(seen, self.block - 1), ()):
                 if pattern == seen:
                     mark[at - m + 1 : at + 1] = ones
                     items |= owners
             at += 1
 
 
-def build(rows: Iterable[tuple[int | None, str | None]], window: int) -> list[PatternGroup]:
+def build(rows: Iterable[tuple[str | None, str | None]], window: int) -> list[PatternGroup]:
     """Search tables for all items, one group for each pattern length."""
     owners: dict[tuple[bytes, ...], set] = defaultdict(set)
     for item, text in rows:
@@ -105,7 +106,7 @@ def pieces(text: bytes) -> Iterator[bytes]:
 
 
 def scan(groups: list[PatternGroup], text: bytes) -> tuple[int, list[dict], list[int]]:
-    """Number of words, merged spans of hit words, items found (sorted as strings)."""
+    """Number of words, merged spans of hit words, items found, in order."""
     reach = max((g.length for g in groups), default=1) - 1
     words: list[bytes] = []
     mark, items, base, spans = bytearray(), set(), 0, []
@@ -130,20 +131,20 @@ def scan(groups: list[PatternGroup], text: bytes) -> tuple[int, list[dict], list
         flush(done)
         words, mark, base = words[done:], mark[done:], base + done
     flush(len(words))
-    return base + len(words), spans, sorted(items, key=str)
+    return base + len(words), spans, sorted(items)
 
 
 def search(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: list[str] | None = None, window: int = 10, max_bytes: int = 32 << 20) -> DataFrame:
     """Find benchmark windows in whole documents.
 
     Adds ``n_words``, ``n_hit`` (words inside any occurrence), ``spans`` (word
-    positions, ends included), ``items`` and ``contaminated``. The items are
+    positions, ends included), ``items`` (ids as strings) and ``contaminated``. The items are
     sent to the executors while they are at most ``max_bytes`` of text; beyond
     that they are dealt by hash into parts of that size, each searched in a
     pass of its own over the documents (a written table between passes).
     """
     keep = list(keep if keep is not None else docs.columns)
-    bench = bench.select(F.col(item_col).cast("bigint").alias("item"), F.col(item_text_col).cast("string").alias("text_"))
+    bench = bench.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text_"))
     total = bench.agg(F.coalesce(F.sum(F.octet_length("text_")), F.lit(0)), F.coalesce(F.max(F.octet_length("text_")), F.lit(0))).first()
     parts = max(1, -(-2 * total[0] // max_bytes)) if total[0] > max_bytes else 1
     spark = docs.sparkSession
@@ -162,7 +163,7 @@ def search(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col:
                 data, offsets = shared.buffers(texts)
                 raw, at = data.tobytes(), offsets.tolist()
                 found = [scan(groups, raw[a:b]) for a, b in zip(at, at[1:], strict=False)]
-                return [np.array([f[0] for f in found], np.int64), pa.array([f[1] for f in found], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array([f[2] for f in found], pa.list_(pa.int64()))]
+                return [np.array([f[0] for f in found], np.int64), pa.array([f[1] for f in found], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array([f[2] for f in found], pa.list_(pa.string()))]
 
             return step
 
@@ -174,7 +175,7 @@ def search(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col:
         if more:
             df = shared.materialize(df.withColumnsRenamed({"spans": "spans_0", "items": "items_0"}).drop("n_words"), "decontaminate")
     if parts > 1:
-        df = df.withColumn("items", F.transform(F.array_sort(F.transform("items", lambda x: F.struct(x.cast("string").alias("s"), x.alias("x")))), lambda x: x["x"]))
+        df = df.withColumn("items", F.array_sort("items"))
         start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-1).cast("bigint").alias("last"))
         step = lambda a, x: F.struct((a["n"] + F.greatest(x["last"] - F.greatest(x["first"] - 1, a["last"]), F.lit(0))).cast("bigint").alias("n"), F.greatest(a["last"], x["last"]).alias("last"))
         hit = F.aggregate("spans", start, step)["n"]
@@ -187,7 +188,7 @@ def search(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col:
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of ten words in every document."""
     found = search(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["doc_id"])
-    listed = F.array_join(F.transform("items", lambda x: x.cast("string")), ",")
+    listed = F.array_join("items", ",")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), "contaminated")
 
 
