@@ -98,34 +98,10 @@ def fit_linear(x: np.ndarray, y: np.ndarray, rounds: int = 120, rate: float = 0.
     return w, b
 
 
-def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", key_col: str = "doc_id", per_class: int = 800, max_classes: int = 512, n: int = 3, bits: int = 11) -> EcocModel | None:
-    """Fit on at most about ``per_class`` rows of each language.
-
-    Profiles of the sampled rows are made on the executors from whole texts;
-    the driver gets per_class x languages rows of 2**bits numbers, however long
-    the texts are. More than ``max_classes`` label values raise ValueError.
-    """
-    rows = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    if docs.select(label_col).distinct().limit(max_classes + 1).count() > max_classes:
-        raise ValueError(f"more than {max_classes} languages")
-    sample = shared.stratified(rows.select(key_col, label_col, text_col), label_col, key_col, per_class)
-
-    def make():
-        def step(texts: pa.Array) -> list:
-            x = grams.hellinger(*grams.profiles(texts, n, bits)).astype(np.float16)
-            return [pa.array([r.tobytes() for r in x], pa.binary())]
-
-        return step
-
-    got = shared.map_texts(sample, text_col, [label_col, key_col], [T.StructField("x", T.BinaryType())], make).toArrow()
-    if not got.num_rows:
-        return None
-    y = np.array(got.column(label_col).to_pylist(), dtype=object)
-    order = sorted(range(len(y)), key=lambda i: (str(got.column(key_col)[i].as_py()), y[i]))
-    y = y[order]
-    x = np.stack([np.frombuffer(got.column("x")[i].as_py(), np.float16) for i in order]).astype(np.float32)
+def fit(x: np.ndarray, y: np.ndarray, n: int, bits: int) -> EcocModel:
+    """The model of profiles and their languages."""
     langs = sorted(set(y))
-    index = np.searchsorted(langs, y.astype(str)) if all(isinstance(s, str) for s in langs) else np.array([langs.index(s) for s in y])
+    index = np.array([{k: i for i, k in enumerate(langs)}[v] for v in y])
     code = codewords(len(langs))
     aside = np.arange(len(y)) % 5 == 4
     if len(langs) == 1 or aside.sum() < 5 * len(langs):
@@ -139,11 +115,38 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", key_
     model = EcocModel(langs, code, coef, bias, trust, 1.0, n, bits)
     if len(langs) > 1:  # the sharpness of scores that suits the rows kept aside best
         loss = model.losses(x[check] @ coef + bias)
-        fit = {s: -np.log(np.maximum(softmax(-s * loss)[np.arange(check.sum()), index[check]], 1e-9)).mean() for s in (0.5, 1, 2, 4, 8)}
-        model.scale = min(fit, key=fit.get)
+        fits = {s: -np.log(np.maximum(softmax(-s * loss)[np.arange(check.sum()), index[check]], 1e-9)).mean() for s in (0.5, 1, 2, 4, 8)}
+        model.scale = min(fits, key=fits.get)
     return model
 
 
+def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", key_col: str = "doc_id", per_class: int = 800, sample_rows: int = 40_000, n: int = 3, bits: int = 11) -> EcocModel | None:
+    """Fit on at most about ``per_class`` rows of each language.
+
+    With so many languages that this is more than ``sample_rows`` rows, fewer
+    of each are taken, eight at least. Profiles of the sampled rows are made on
+    the executors from whole texts, and one task there fits the model. Rows
+    that repeat an id, a text and a language count once.
+    """
+    rows = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(key_col).cast("string").alias("key_"), F.col(label_col).cast("string").alias("label_"), F.col(text_col).cast("string").alias("text_"))
+    classes = rows.select("label_").distinct().count()
+    sample = shared.stratified(rows, "label_", ["key_", "text_"], min(per_class, max(8, sample_rows // max(classes, 1)))).distinct()
+
+    def make():
+        def step(texts: pa.Array) -> list:
+            x = grams.hellinger(*grams.profiles(texts, n, bits)).astype(np.float16)
+            return [pa.array([r.tobytes() for r in x], pa.binary())]
+
+        return step
+
+    def work(table: pa.Table) -> EcocModel:
+        table = table.sort_by([("key_", "ascending"), ("label_", "ascending"), ("x", "ascending")])
+        return fit(np.stack([np.frombuffer(r.as_py(), np.float16) for r in table["x"]]).astype(np.float32), np.array(table["label_"].to_pylist(), dtype=object), n, bits)
+
+    made = shared.fit_on_executor(shared.map_texts(sample, "text_", ["label_", "key_"], [T.StructField("x", T.BinaryType())], make), work)
+    return made[0] if made else None
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)

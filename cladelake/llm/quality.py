@@ -104,33 +104,16 @@ def best_bin(p: np.ndarray, u: np.ndarray) -> float:
     return float(np.clip(qu[at] / qp[at], 0.02, 0.98))
 
 
-def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", key_col: str = "doc_id", label_col: str = "quality", positives: int = 2500, unlabelled: int = 4000, bits: int = 10, rounds: int = 300) -> PuModel:
-    """Fit on at most about ``positives`` trusted rows and ``unlabelled`` rows of ``docs``.
-
-    Features of sampled rows are made on the executors from whole texts.
-    """
-    trusted = shared.stratified(labels.where((F.col(label_col) == 1) & F.col(key_col).isNotNull()).select(key_col, label_col).distinct(), label_col, key_col, positives)
-    total = max(docs.count(), 1)
-    plain = docs.select(F.col(key_col).alias("key_"), F.col(text_col).alias("text_"))
-    web = plain.where(shared.unit_hash("key_", seed=23) < unlabelled / total).withColumn("kind_", F.lit(0))
-    good = plain.where("text_ is not null").join(F.broadcast(trusted.select(F.col(key_col).alias("key_"))), "key_").withColumn("kind_", F.lit(1))
-
-    def make():
-        return lambda texts: [pa.array([r.tobytes() for r in features(texts, bits).astype(np.float32)], pa.binary())]
-
-    got = shared.map_texts(web.unionByName(good), "text_", ["key_", "kind_"], [T.StructField("x", T.BinaryType())], make).toArrow()
-    kind = got.column("kind_").to_numpy()
+def fit(p: np.ndarray, u: np.ndarray, bits: int, rounds: int) -> PuModel:
+    """The model of trusted and unlabelled features."""
     width = (1 << bits) + 12
-    if not (kind == 1).any() or not (kind == 0).any():
+    if not len(p) or not len(u):
         return PuModel(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 0.0, bits)
-    order = np.array(sorted(range(len(kind)), key=lambda i: (kind[i], str(got.column("key_")[i].as_py()))))
-    x = np.stack([np.frombuffer(got.column("x")[int(i)].as_py(), np.float32) for i in order])
-    kind = kind[order]
+    x = np.vstack((p, u))
     mean = x.mean(0)
     scale = (1 / (x.std(0) + 0.02)).astype(np.float32)
     scale[: 1 << bits] /= 8  # profiles count for about as much as the statistics
-    x = (x - mean) * scale
-    p, u = x[kind == 1], x[kind == 0]
+    p, u = (p - mean) * scale, (u - mean) * scale
     half = lambda a, k: a[np.arange(len(a)) % 2 == k] if len(a) > 1 else a
     w, b = descend(half(p, 0), half(u, 0), None, rounds // 2)
     prior = best_bin(half(p, 1) @ w + b, half(u, 1) @ w + b)
@@ -138,6 +121,33 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", key_col: s
     return PuModel(mean, scale, w, b, prior, bits)
 
 
+def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", key_col: str = "doc_id", label_col: str = "quality", positives: int = 2500, unlabelled: int = 4000, bits: int = 10, rounds: int = 300) -> PuModel:
+    """Fit on at most about ``positives`` trusted rows and ``unlabelled`` rows of ``docs``.
+
+    Features of sampled rows are made on the executors from whole texts, and
+    one task there fits the model. Rows that repeat an id and a text count once.
+    """
+    trusted = shared.stratified(labels.where((F.col(label_col) == 1) & F.col(key_col).isNotNull()).select(key_col, label_col).distinct(), label_col, key_col, positives)
+    total = max(docs.count(), 1)
+    plain = docs.select(F.col(key_col).alias("key_"), F.col(text_col).cast("string").alias("text_"))
+    web = plain.where(shared.unit_hash("key_", "text_", seed=23) < unlabelled / total).withColumn("kind_", F.lit(0)).distinct()
+    good = plain.where("text_ is not null").join(F.broadcast(trusted.select(F.col(key_col).alias("key_"))), "key_").withColumn("kind_", F.lit(1)).distinct()
+    good = shared.stratified(shared.materialize(good, "quality-trusted"), "kind_", ["key_", "text_"], positives)
+    sample = web.unionByName(good).withColumn("key_", F.col("key_").cast("string"))
+
+    def make():
+        return lambda texts: [pa.array([r.tobytes() for r in features(texts, bits).astype(np.float32)], pa.binary())]
+
+    def work(table: pa.Table) -> PuModel:
+        table = table.sort_by([("kind_", "ascending"), ("key_", "ascending"), ("x", "ascending")])
+        kind = table["kind_"].to_numpy()
+        x = np.stack([np.frombuffer(r.as_py(), np.float32) for r in table["x"]])
+        return fit(x[kind == 1], x[kind == 0], bits, rounds)
+
+    made = shared.fit_on_executor(shared.map_texts(sample, "text_", ["key_", "kind_"], [T.StructField("x", T.BinaryType())], make), work)
+    return made[0] if made else fit(np.zeros((0, 0)), np.zeros((0, 0)), bits, rounds)
+
+
 def score(docs: DataFrame, model: PuModel, text_col: str = "text", keep: list[str] | None = None, threshold: float = 0.3) -> DataFrame:
     """Adds ``score`` (0 to 1) and ``predicted`` (1 if the score is ``threshold`` or more)."""
     held = docs.sparkSession.sparkContext.broadcast(model)

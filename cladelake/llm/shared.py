@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import pickle
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,14 +18,10 @@ CHUNK_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (local tests) a temporary folder is made.
-    """
+    """The folder all executors share, ``spark.checkpoint.dir``; without that setting ValueError."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="cladelake-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return base.rstrip("/")
 
 
@@ -122,7 +119,7 @@ def map_texts(
     return done.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(f"o{i}").alias(f.name) for i, f in enumerate(outputs)])
 
 
-def stratified(df: DataFrame, label: str, key: str, per_class: int, seed: int = 1) -> DataFrame:
+def stratified(df: DataFrame, label: str, key: str | Sequence[str], per_class: int, seed: int = 1) -> DataFrame:
     """A repeatable sample of about ``per_class`` rows of each label value.
 
     Labels are counted over all rows; each class gets its own sampling rate, so
@@ -132,4 +129,27 @@ def stratified(df: DataFrame, label: str, key: str, per_class: int, seed: int =
     rate = F.lit(0.0)
     for r in counts:
         rate = F.when(F.col(label) == F.lit(r[0]), F.lit(min(1.0, per_class / r["count"]))).otherwise(rate)
-    return df.where(unit_hash(key, seed=seed) < rate)
+    return df.where(unit_hash(*([key] if isinstance(key, str) else key), seed=seed) < rate)
+
+
+def fit_on_executor(sample: DataFrame, fit: Callable[[pa.Table], object], by: str | None = None, tasks: int = 1) -> list:
+    """What ``fit`` makes of a bounded sample, in one task away from the driver.
+
+    With ``by``, a column of a few numbers, there is a result for each number,
+    in their order, made by ``tasks`` tasks. Without a row, none.
+    """
+    spread = sample.repartition(1) if by is None else sample.repartitionByRange(tasks, by)
+    shape = sample.schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not sum(b.num_rows for b in held):
+            return
+        table = pa.Table.from_batches(held).rename_columns(shape)
+        kinds = np.unique(table[by].to_numpy()).tolist() if by else [0]
+        for k in kinds:
+            part = table.filter(pa.compute.equal(table[by], k)) if by else table
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([pickle.dumps(fit(part))], pa.binary())], names=["k", "made"])
+
+    got = spread.mapInArrow(run, "k bigint, made binary").toArrow().sort_by("k")
+    return [pickle.loads(x.as_py()) for x in got["made"]]

@@ -4,11 +4,14 @@ A word's vector is the mean of the embeddings of its hashed byte n-grams (3, 5
 and 7 bytes, word boundaries included), a window's vector the mean over its words;
 embeddings and the softmax are trained jointly in numpy. Labels belong to whole
 documents while insults are a few words among many, so windows of ``window``
-words are what is averaged. A first round takes every window's label from its
-document; a second keeps, of toxic documents, only windows that the first
-places above nearly all windows of clean ones. Over all windows of the whole
-text, the highest logit and the mean softmax output give the document's score
-by a logistic curve fitted on the labelled sample.
+words are what is averaged. A first round learns from single words, each
+counted once a document: what only one toxic document has stays near the
+prior, what many have stands out. A second round learns from windows, of toxic
+documents those whose best word stands above nearly all windows of clean ones.
+Over all windows of the whole text, the highest logit and the mean softmax
+output give the document's score by a logistic curve, fitted on the sample's
+documents as the model of all sees them and as one sees them from which their
+half of the sample was held aside.
 
 Nulls, blanks and texts without a word score as the model's bias does alone, a
 low value. Repeated rows give repeated results; an empty table gives an empty
@@ -154,6 +157,19 @@ def logistic_curve(x: np.ndarray, y: np.ndarray, prior: float) -> np.ndarray:
     return np.append(a, p[-1] - a @ mean)
 
 
+def rising_curve(x: np.ndarray, y: np.ndarray, prior: float) -> np.ndarray:
+    """The curve of ``logistic_curve`` without the columns that would lower the score as they rise."""
+    use, end = list(range(x.shape[1] - 1)), x.shape[1] - 1
+    while True:
+        curve = logistic_curve(x[:, [*use, end]], y, prior)
+        if len(use) < 2 or curve[:-1].min() >= 0:
+            break
+        use.pop(int(curve[:-1].argmin()))
+    out = np.zeros(end + 1)
+    out[[*use, end]] = curve
+    return out
+
+
 def summed(place: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Sum of the rows that go to each of ``n`` places."""
     dim = rows.shape[1]
@@ -161,45 +177,45 @@ def summed(place: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(flat, weights=rows.ravel(), minlength=n * dim).reshape(n, dim).astype(np.float32)
 
 
-def embed(windows: list[bytes], y: np.ndarray, bits: int, dim: int, epochs: int, batch: int = 512, rate: float = 0.5, seed: int = 3) -> tuple[np.ndarray, float]:
+def embed(bags: list[list[bytes]], weight: np.ndarray, bits: int, dim: int, epochs: int, rate: float, batch: int = 512, seed: int = 3) -> tuple[np.ndarray, float]:
     """Train embeddings and softmax jointly; returns each subword's logit weight and the bias.
 
-    The step of a row shrinks with its own past gradients (Adagrad).
+    ``weight`` has, for each bag of words, how much it counts as clean and as
+    toxic. The step of a row shrinks with its own past gradients (Adagrad).
     """
-    words = [w.split() for w in windows]
-    vocab = {w: i for i, w in enumerate(dict.fromkeys(x for ws in words for x in ws))}
+    vocab = {w: i for i, w in enumerate(dict.fromkeys(x for ws in bags for x in ws))}
     buffer = np.frombuffer(b" " + b" ".join(vocab) + b" ", np.uint8)
     n_words, found = subwords(buffer, bits)
     owner, gram = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(owner, kind="stable")
     gram, per = gram[order], np.bincount(owner, minlength=n_words)
     begin = np.concatenate(([0], np.cumsum(per)))
-    ids = [np.array([vocab[x] for x in ws], np.int64) for ws in words]
+    size = np.fromiter(map(len, bags), np.int64, len(bags))
+    flat_ids, bag_at = np.fromiter((vocab[x] for ws in bags for x in ws), np.int64, int(size.sum())), np.concatenate(([0], np.cumsum(size)))
     rng = np.random.default_rng(seed)
     rows = len(SIZES) << bits
     e = (rng.standard_normal((rows, dim)) * 0.1).astype(np.float32)
     seen = np.full(rows, 1e-4, np.float32)
     u, u_seen = (rng.standard_normal((dim, 2)) * 0.1).astype(np.float32), 1e-4
     b, b_seen = np.zeros(2, np.float32), 1e-4
-    share = np.array([len(y) / (2 * max(1, (y == k).sum())) for k in (0, 1)], np.float32)  # both classes weigh the same
+    weight = (weight / weight.sum(1).mean()).astype(np.float32)
     for _ in range(epochs):
-        turn = rng.permutation(len(ids))
+        turn = rng.permutation(len(bags))
         for at in range(0, len(turn), batch):
             pick = turn[at : at + batch]
-            n = np.array([len(ids[i]) for i in pick])
-            used, place = np.unique(np.concatenate([ids[i] for i in pick]), return_inverse=True)
+            n = size[pick]
+            edges = np.cumsum(n) - n
+            used, place = np.unique(flat_ids[np.repeat(bag_at[pick] - edges, n) + np.arange(n.sum())], return_inverse=True)
             count = per[used]
-            flat = np.repeat(begin[used] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-            g = gram[flat]
-            heads = np.concatenate(([0], np.cumsum(count)[:-1]))
+            heads = np.cumsum(count) - count
+            g = gram[np.repeat(begin[used] - heads, count) + np.arange(count.sum())]
             vec = np.add.reduceat(e[g], heads, axis=0) / count[:, None]
-            edges = np.concatenate(([0], np.cumsum(n)[:-1]))
             mean = np.add.reduceat(vec[place], edges, axis=0) / n[:, None]
             z = mean @ u + b
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            p[np.arange(len(pick)), y[pick]] -= 1
-            p *= (share[y[pick]] / len(pick))[:, None]
+            w = weight[pick]
+            p = (p * w.sum(1, keepdims=True) - w) / len(pick)
             du, db, dm = mean.T @ p, p.sum(0), p @ u.T
             dv = summed(place, np.repeat(dm / n[:, None], n, axis=0), len(used))
             rows_g, where = np.unique(g, return_inverse=True)
@@ -209,55 +225,72 @@ def embed(windows: list[bytes], y: np.ndarray, bits: int, dim: int, epochs: int,
             u_seen, b_seen = u_seen + (du * du).mean(), b_seen + (db * db).mean()
             u -= rate * du / np.sqrt(u_seen)
             b -= rate * db / np.sqrt(b_seen)
-    return e @ (u[:, 1] - u[:, 0]), float(b[1] - b[0])
+    logit = (e @ (u[:, 1] - u[:, 0])).astype(np.float32)
+    known = np.zeros(rows, bool)
+    known[gram] = True
+    return np.where(known, logit, np.float32(0)), float(b[1] - b[0])  # a subword never seen says nothing
+
+
+def summaries(model: SubwordModel, texts: list[bytes]) -> np.ndarray:
+    return np.concatenate([model.summary(pa.array(texts[i : i + 256], pa.binary())) for i in range(0, len(texts), 256)])
+
+
+def fit(texts: list[bytes], y: np.ndarray, window: int, bits: int, dim: int, clean: float = 0.999) -> SubwordModel | None:
+    """Both rounds over whole documents, the curve left out; None without words of both kinds."""
+    words = [WORD_BYTES[np.frombuffer(t, np.uint8)].tobytes().split() for t in texts]
+    seen: dict[bytes, list[int]] = {}
+    for ws, k in zip(words, y, strict=True):
+        for w in dict.fromkeys(ws):
+            seen.setdefault(w, [0, 0])[k] += 1
+    weight = np.array(list(seen.values()), float).reshape(-1, 2)
+    if not (weight.sum(0) > 0).all():
+        return None
+    model = SubwordModel(*embed([[w] for w in seen], weight, bits, dim, epochs=30, rate=0.2), FLAT, bits, 1)
+    kinds = np.array([k for ws, k in zip(words, y, strict=True) for _ in range(0, len(ws), window)])
+    bags = [ws[j : j + window] for ws in words for j in range(0, len(ws), window)]
+    logit = dict(zip(seen, model.word_logits(np.frombuffer(b" " + b" ".join(seen) + b" ", np.uint8)).tolist(), strict=True))
+    best = np.array([max(logit[w] for w in bag) for bag in bags])
+    keep = (kinds == 0) | (best > np.quantile(best[kinds == 0], clean))
+    if (kinds[keep] == 1).sum() < 10:  # too few to learn windows from
+        return model
+    bags, kinds = [b for b, k in zip(bags, keep, strict=True) if k], kinds[keep]
+    share = np.array([len(kinds) / (2 * max(1, (kinds == k).sum())) for k in (0, 1)])  # both classes weigh the same
+    return SubwordModel(*embed(bags, np.eye(2)[kinds] * share, bits, dim, epochs=5, rate=0.5), FLAT, bits, window)
 
 
 def train(
     docs: DataFrame, labels: DataFrame, text_col: str = "text", key_col: str = "doc_id", label_col: str = "toxic",
-    per_class: int = 1000, window: int = 3, bits: int = 16, dim: int = 8, epochs: int = 5,
+    per_class: int = 1000, window: int = 2, bits: int = 16, dim: int = 8,
 ) -> SubwordModel:
-    """Fit on at most about ``per_class`` labelled documents of each kind.
+    """Fit on at most about ``per_class`` labelled documents of each kind, all of their text.
 
-    All windows of each come to the driver for the embeddings; the curve uses
-    the whole texts, scored on the executors.
+    Three tasks on the executors train: without either half of the sample,
+    whose summaries fit the curve, and on all of it. Rows that repeat an id
+    and a text count once.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(key_col).isNotNull()).select(key_col, F.col(label_col).cast("int").alias("y_")).distinct()
     few = F.broadcast(shared.stratified(known, "y_", key_col, per_class).select(F.col(key_col).alias("key_"), "y_"))
-    sample = shared.materialize(docs.select(F.col(key_col).alias("key_"), F.col(text_col).alias("text_")).where("text_ is not null").join(few, "key_"), "toxic-sample")
-
-    def make():
-        def step(texts: pa.Array) -> list:
-            data, offsets = shared.buffers(texts)
-            out = []
-            for i in range(len(texts)):
-                words = WORD_BYTES[data[offsets[i] : offsets[i + 1]]].tobytes().split()
-                out.append([b" ".join(words[j : j + window]) for j in range(0, len(words), window)])
-            return [pa.array(out, pa.list_(pa.binary()))]
-
-        return step
-
-    got = shared.map_texts(sample, "text_", ["key_", "y_"], [T.StructField("w", T.ArrayType(T.BinaryType()))], make).toArrow().to_pylist()
-    got.sort(key=lambda r: (str(r["key_"]), r["y_"], r["w"]))
-    kinds = {r["y_"] for r in got if r["w"]}
-    if kinds != {0, 1}:
-        return SubwordModel(np.zeros(len(SIZES) << bits, np.float32), 0.0, FLAT, bits, window, float(sum(kinds)) if kinds else 0.0)
-    doc = np.array([i for i, r in enumerate(got) for _ in r["w"]])
-    y = np.array([r["y_"] for r in got for _ in r["w"]])
-    windows = [w for r in got for w in r["w"]]
-    weight, bias = embed(windows, y, bits, dim, epochs)
-    model = SubwordModel(weight.astype(np.float32), bias, FLAT, bits, window)
-    z = np.concatenate([model.summary(pa.array(windows[i : i + 8192], pa.binary()))[:, 0] for i in range(0, len(windows), 8192)])
-    bar = np.quantile(z[y == 0], 0.995)
-    keep = (y == 0) | (z > bar)
-    if (y[keep] == 1).sum() >= 10:
-        weight, bias = embed([w for w, k in zip(windows, keep, strict=True) if k], y[keep], bits, dim, epochs)
-        model = SubwordModel(weight.astype(np.float32), bias, FLAT, bits, window)
-    held = sample.sparkSession.sparkContext.broadcast(model)
-    fit = shared.map_texts(sample, "text_", ["y_", "key_"], [T.StructField("z", T.ArrayType(T.DoubleType()))], lambda: lambda texts: [pa.array(held.value.summary(texts).tolist(), pa.list_(pa.float64()))]).toArrow().to_pylist()
-    fit.sort(key=lambda r: (str(r["key_"]), r["z"], r["y_"]))
-    y = np.array([r["y_"] for r in fit], float)
-    share = known.agg(F.avg("y_")).first()[0]
-    model.curve = logistic_curve(np.array([r["z"] for r in fit]), y, share)
+    found = docs.select(F.col(key_col).alias("key_"), F.col(text_col).cast("string").alias("text_")).where("text_ is not null").join(few, "key_")
+    found = shared.materialize(found.distinct(), "toxic-rows")
+    sample = shared.stratified(found, "y_", ["key_", "text_"], per_class, seed=2).select(F.col("key_").cast("string").alias("key_"), "text_", "y_", (shared.unit_hash("key_", "text_", seed=3) * 2).cast("int").alias("fold_"))
+
+    def work(table: pa.Table) -> tuple:
+        table = table.sort_by([("key_", "ascending"), ("y_", "ascending"), ("text_", "ascending")])
+        texts, y, fold, turn = [t.encode() for t in table["text_"].to_pylist()], table["y_"].to_numpy(), table["fold_"].to_numpy(), table["turn_"][0].as_py()
+        mine = fold != turn
+        model = fit([t for t, m in zip(texts, mine, strict=True) if m], y[mine], window, bits, dim)
+        judged = ~mine if turn < 2 else mine
+        aside = [t for t, m in zip(texts, judged, strict=True) if m]
+        return model, y[judged], summaries(model, aside) if model and aside else np.zeros((0, 3)), set(y.tolist())
+
+    made = shared.fit_on_executor(sample.select("*", F.explode(F.array(*map(F.lit, range(3)))).alias("turn_")), work, "turn_", 3)
+    if not made or made[-1][0] is None:
+        kinds = made[-1][3] if made else set()
+        return SubwordModel(np.zeros(len(SIZES) << bits, np.float32), 0.0, FLAT, bits, window, float(sum(kinds)) if len(kinds) == 1 else float(known.agg(F.avg("y_")).first()[0] or 0))
+    # each row counts twice: as one held aside, whose windows look too tame, and as one learned from, whose windows look too wild
+    y, x = (np.concatenate(z) for z in zip(*[m[1:3] for m in made if m[0] is not None], strict=True))
+    model = made[-1][0]
+    model.curve = rising_curve(x, y.astype(float), known.agg(F.avg("y_")).first()[0])
     return model
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from cladelake.llm import decontamination, mixing, simhash
+from cladelake.llm import decontamination, mixing, shared, simhash, toxicity
 
 
 def test_stages_and_columns(spark, sf):
@@ -22,6 +22,34 @@ def test_stages_and_columns(spark, sf):
     assert (got.set_index("doc_id").taken.sort_index() == want.sort_index()).all()
 
 
+def test_run_is_its_stages_one_after_another(spark, sf, tmp_path):
+    """run() against stages whose decisions are taken apart: scores, predictions, groups and hits joined by id."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert docs.select("doc_id").distinct().count() == docs.count()
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where(~shared.is_remainder("doc_id", 4, 2))
+    left = docs.toPandas()
+    keep = lambda ids: left[left.doc_id.isin(ids)]
+    again = lambda: spark.createDataFrame(left, docs.schema)
+    left = keep(toxicity.score(docs, toxicity.train(docs, labels)).where("score < 0.3").toPandas().doc_id)
+    left = keep([d for d, t in zip(left.doc_id, left["text"]) if any(c.isalpha() for c in t or "")])
+    groups = simhash.near_duplicates(again()).toPandas()
+    left = keep(groups.groupby("component_id").doc_id.min())
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    left = keep(decontamination.search(again(), bench).where("n_hit = 0").toPandas().doc_id)
+    want = mixing.mix(again()).toPandas().sort_values("doc_id")
+    got = cp.run(spark, sf).toPandas().sort_values("doc_id")
+    assert 0 < len(got) < docs.count()
+    assert got.doc_id.tolist() == want.doc_id.tolist() and got.taken.tolist() == want.taken.tolist() and got.target.tolist() == want.target.tolist()
+
+
+def test_stages_keep_columns_whose_names_are_outputs(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in ("score", "predicted", "lang_pred", "simhash", "n_hit", "root", "id_", "text_")})
+    for name, stage in cp.STAGES[:-1]:
+        got = stage(spark, docs, sf)
+        assert got.dtypes == docs.dtypes and got.count() > 0
+        assert got.where("score <> concat('score', doc_id) or n_hit <> concat('n_hit', doc_id) or root <> concat('root', doc_id)").count() == 0, name
+
+
 def test_dedup_keeps_one_of_each_group(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = cp.stage_near_dedup(spark, docs, sf)
