@@ -11,16 +11,25 @@ the operators are defined.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cladelake.llm import decontamination, language_id, mixing, shared, simhash, toxicity
 
-#: Learned models, a byte n-gram classifier and XXH64 fingerprints are not SQL: tests hold run() against plain versions.
+#: Learned models, a byte n-gram classifier and XXH64 fingerprints are not SQL: a test holds run() against decisions taken apart and joined by id.
 ORACLE_SQL = None
 
 
+def kept(docs: DataFrame, judge: Callable[[DataFrame, str, list[str]], DataFrame], rule: str) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` marks to hold ``rule``, with their own columns, whatever the names."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    return judge(plain, names[docs.columns.index("text")], names).where(rule).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+
+
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.3 or more go.
 
@@ -29,7 +38,7 @@ def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~shared.is_remainder("doc_id", 4, 2))
     model = toxicity.train(docs, labels)
-    return toxicity.score(docs, model, keep=docs.columns).where("predicted = 0").select(*docs.columns)
+    return kept(docs, lambda rows, text, names: toxicity.score(rows, model, text, names), "predicted = 0")
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +51,7 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = language_id.train(docs.where(~shared.is_remainder("doc_id", 4, 2) & F.col("doc_id").isNotNull()))
     if model is None:
         return language_id.with_letter(docs)
-    return language_id.identify(docs, model, keep=docs.columns).where(F.col("lang_pred") != language_id.UND).select(*docs.columns)
+    return kept(docs, lambda rows, text, names: language_id.identify(rows, model, text, names), f"lang_pred <> '{language_id.UND}'")
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,7 +80,7 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of ten words, or a whole shorter item, of the benchmark go."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontamination.search(docs, bench, keep=docs.columns).where("not contaminated").select(*docs.columns)
+    return kept(docs, lambda rows, text, names: decontamination.search(rows, bench, text_col=text, keep=names), "not contaminated")
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
