@@ -1,14 +1,17 @@
 """Main text of web pages by minimum-cut labelling of text blocks.
 
 A page is cut into blocks of text at block-level tags. A fixed linear
-classifier on a block's own text and its ancestors gives the cost of calling it
-content or boilerplate; the costs are capacities from the two terminals.
-Blocks that follow each other, and blocks in the same container, are joined by
-smoothness edges that weaken with their distance in the document tree. The
-minimum cut, found by max-flow, is the cheapest labelling.
-
-Null and empty pages, and pages without a block of content, give an empty
-text. Markup may be broken: unclosed, unopened or cut-off tags are borne; only
+classifier on a block's own text and its ancestors gives the log-odds, a few
+nats, that it is content; they are capacities from the two terminals. Blocks
+that follow each other, and blocks in the same container, are joined by
+smoothness edges of like size that weaken with their distance in the document
+tree. The minimum cut, found by max-flow, is the cheapest labelling. A page
+that keeps nothing so, one of a few words say, is cut again with the odds of
+all blocks raised until its likeliest block is content, if that takes at most
+``RAISE`` nats.
+
+Null and empty pages, and pages of nothing but boilerplate, give an empty
+text. Nesting may be of any depth. Markup may be broken: unclosed, unopened or cut-off tags are borne; only
 an unclosed comment or raw-text element (script, style, ...) takes the rest.
 Repeated rows give repeated results; an empty table gives an empty result.
 Input columns that clash with an output give way to it.
@@ -17,9 +20,8 @@ Input columns that clash with an output give way to it.
 from __future__ import annotations
 
 import html
-import math
 import re
-from collections import deque
+from collections import Counter, deque
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +35,12 @@ OUTPUTS = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.Lon
 
 #: Comments, raw-text elements, tags (quoted values may hold >), tags cut off by the end.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|textarea|iframe|title)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 #: Other elements whose inside is no text; without a close tag only their open tag is skipped. Those of ``ALONE`` hold none of their kind.
-ALONE = {t: re.compile(rf"<(?:(/){t}\s*>|{t}(?=[\s/>]))", re.I) for t in "button select canvas audio video".split()}
+ALONE = {t: re.compile(rf"<(?:(/){t}\s*>|{t}(?=[\s/>]))", re.I) for t in "title iframe noscript textarea button select canvas audio video".split()}
 CLOSED = ALONE | {t: re.compile(rf"<(/){t}\s*>", re.I) for t in "svg math object template".split()}
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 SPACED = frozenset("br img td th input".split())
@@ -48,58 +50,77 @@ LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre tr td th figcaptio
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PLAIN = re.compile(r"[a-z0-9]+")
-#: Words in class, id and role that speak of boilerplate, and of content.
+#: Words in class, id and role that speak of boilerplate, or may do so, and of content.
 BOILER_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adbox adslot banner sponsor sponsored sponsors promo promoted promotion nav navbar navigation menu submenu breadcrumb breadcrumbs footer foot copyright legal header masthead topbar toolbar sidebar side aside rail widget widgets "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay subscribe subscription newsletter signup login signin register form search searchbox share sharing social follow related recommended recommendations more pagination pager comment comments commentlist disqus reply replies respond discussion feedback complementary contentinfo skip tags".split()
+    "ad ads advert adverts advertisement advertising adbox adslot banner sponsor sponsored sponsors promo promoted nav navbar navigation menu submenu breadcrumb breadcrumbs footer foot copyright masthead topbar toolbar sidebar aside rail widget widgets "
+    "cookie cookies consent gdpr notice notices popup modal overlay subscribe subscription newsletter signup login signin searchbox sharing pagination pager comment comments commentlist disqus reply replies respond complementary contentinfo".split()
 )
+MAYBE_WORDS = frozenset("promotion legal header side alert register form search share social follow related recommended recommendations more discussion feedback skip tags".split())
 CONTENT_WORDS = frozenset("article post entry story content main maincontent body text prose blog".split())
-BOILER_TAGS = {"nav": 6.0, "footer": 6.0, "aside": 6.0, "form": 5.0, "menu": 5.0, "dialog": 5.0, "header": 4.0, "fieldset": 3.0}
+#: Nats that an ancestor takes or gives.
+BOILER_TAGS = {"nav": 3.0, "footer": 3.0, "aside": 3.0, "menu": 2.0, "dialog": 2.0, "header": 1.5, "form": 1.0, "fieldset": 1.0}
+WORD_SAYS, MAYBE_SAYS, HIDDEN_SAYS, ARTICLE_SAYS, CONTENT_SAYS = 3.0, 1.0, 3.0, 0.8, 0.5
 ENDS = re.compile(r"[.!?…。！？:;][\"'”’)\]]*$")
 RIGHTS = re.compile(r"©|\(c\)\s*\d{4}|all rights reserved|cookie|privacy policy|terms of (?:use|service)", re.I)
-NEAR, SAME, SPAN = 0.9, 0.6, 4.0
+#: Weights of edges between neighbours and within a container.
+NEAR, SAME, SPAN = 1.0, 0.8, 4.0
+RAISE = 2.5
+
+
+class Box:
+    """A block-level element: its parent, depth, and what it and those around it say of their inside."""
+
+    __slots__ = ("parent", "depth", "tag", "boiler", "content")
+
+    def __init__(self, parent: Box | None, tag: str, boiler: float, content: float) -> None:
+        self.parent, self.tag, self.boiler, self.content = parent, tag, boiler, content
+        self.depth = parent.depth + 1 if parent else 0
 
 
 class Block:
-    __slots__ = ("text", "linked", "tag", "boiler", "content", "path")
+    __slots__ = ("text", "linked", "box")
 
-    def __init__(self, text: str, linked: int, tag: str, boiler: float, content: float, path: tuple[int, ...]) -> None:
-        self.text, self.linked, self.tag, self.boiler, self.content, self.path = text, linked, tag, boiler, content, path
+    def __init__(self, text: str, linked: int, box: Box) -> None:
+        self.text, self.linked, self.box = text, linked, box
 
 
 def _opinion(tag: str, attrs: str, in_article: bool) -> tuple[float, float]:
-    """What an element says of its inside: weight for boilerplate, weight for content."""
+    """Nats that an element takes from its inside as boilerplate, and gives it as content."""
     boiler = BOILER_TAGS.get(tag, 0.0)
-    if tag == "header" and in_article:
-        boiler = 0.5
-    content = 3.0 if tag in ("article", "main") else 0.0
-    if attrs and tag not in INLINE and tag not in ("body", "html"):
+    head = tag == "header" and in_article
+    if head:
+        boiler = 0.3
+    content = ARTICLE_SAYS if tag in ("article", "main") else 0.0
+    if attrs and tag not in ("body", "html"):
         for m in NAMED.finditer(attrs):
             names = PLAIN.findall((m[1] or m[2] or m[3] or "").lower())
-            if any(n in BOILER_WORDS for n in names):
-                boiler = max(boiler, 1.0 if tag == "header" and in_article else 5.0)
+            if not head and any(n in BOILER_WORDS for n in names):
+                boiler = max(boiler, WORD_SAYS)
+            elif not head and any(n in MAYBE_WORDS for n in names):
+                boiler = max(boiler, MAYBE_SAYS)
             elif any(n in CONTENT_WORDS for n in names):
-                content = max(content, 2.0)
+                content = max(content, CONTENT_SAYS)
         if "hidden" in attrs and re.search(r"\bhidden\b|display\s*:\s*none", attrs):
-            boiler = max(boiler, 5.0)
+            boiler = max(boiler, HIDDEN_SAYS)
     return boiler, content
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks of text in page order."""
-    # open elements: tag, boilerplate weight, content weight, path of block-level elements, links
-    stack: list[tuple[str, float, float, tuple[int, ...], int]] = [("", 0.0, 0.0, (0,), 0)]
+    root = Box(None, "", 0.0, 0.0)
+    # open elements: tag, innermost block-level element, links around; and how many of each tag are open
+    stack: list[tuple[str, Box, int]] = [("", root, 0)]
+    open_tags: Counter[str] = Counter()
     out: list[Block] = []
     parts: list[str] = []
-    linked, serial, at = 0, 0, 0
+    linked, at = 0, 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                top = next(e for e in reversed(stack) if e[0] not in INLINE)
-                out.append(Block(text, linked, top[0], top[1], top[2], top[3]))
+                out.append(Block(text, linked, stack[-1][1]))
             parts.clear()
         linked = 0
 
@@ -108,9 +129,14 @@ def blocks_of(page: str) -> list[Block]:
         if "&" in raw:
             raw = html.unescape(raw)
         parts.append(raw)
-        if stack[-1][4]:
+        if stack[-1][2]:
             linked += len(raw.strip())
 
+    def close_from(k: int) -> None:
+        for tag, _, _ in stack[k:]:
+            open_tags[tag] -= 1
+        del stack[k:]
+
     unclosed = set()
     while m := TOKEN.search(page, at):
         if m.start() > at:
@@ -121,8 +147,7 @@ def blocks_of(page: str) -> list[Block]:
             continue  # a comment, a declaration or an element without text
         tag = tag.lower()
         if tag in CLOSED and not close:
-            empty = tag in ("svg", "math") and attrs.endswith("/")
-            if not empty and tag not in unclosed:
+            if not attrs.endswith("/") and tag not in unclosed:
                 end = CLOSED[tag].search(page, at)
                 if end is None:
                     unclosed.add(tag)
@@ -135,9 +160,9 @@ def blocks_of(page: str) -> list[Block]:
         elif not inline:
             flush()
         if close:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_tags[tag] > 0 else ():
                 if stack[k][0] == tag:
-                    del stack[k:]
+                    close_from(k)
                     break
                 if inline and stack[k][0] not in INLINE:
                     break
@@ -149,18 +174,16 @@ def blocks_of(page: str) -> list[Block]:
             for k in range(len(stack) - 1, 0, -1):
                 name = stack[k][0]
                 if name == "p" and tag not in ("td", "th") or name in ends.split():
-                    del stack[k:]
+                    close_from(k)
                     break
                 if name in bounds or name not in INLINE and name != "p" and not ends:
                     break
-        _, boiler, content, path, links = stack[-1]
-        more = _opinion(tag, attrs, content >= 3.0) if not inline else (0.0, 0.0)
+        _, box, links = stack[-1]
         if not inline:
-            serial += 1
-            path = (*path[-11:], serial)
-        stack.append((tag, max(boiler, more[0]), max(content, more[1]), path, links + (tag == "a")))
-        if len(stack) > 400:  # markup without end: treat what is deeper as siblings
-            del stack[300:]
+            boiler, content = _opinion(tag, attrs, box.content >= ARTICLE_SAYS)
+            box = Box(box, tag, max(box.boiler, boiler), max(box.content, content))
+        stack.append((tag, box, links + (tag == "a")))
+        open_tags[tag] += 1
     if at < len(page):
         add(page[at:])
     flush()
@@ -168,31 +191,39 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def evidence(b: Block) -> float:
-    """Log-odds that a block is content, from the block alone."""
+    """Log-odds that a block is content, from the block and what is around it."""
     n = len(b.text)
-    z = -1.0 + b.content - b.boiler + 0.8 * min(n / 100, 3.0) - 4.0 * min(1.0, b.linked / n)
-    if b.tag in ("p", "blockquote", "pre"):
-        z += 0.8
-    elif b.tag in ("h1", "h2", "h3", "h4"):
-        z += 0.6
+    z = -1.5 + b.box.content - b.box.boiler + 0.8 * min(n / 100, 3.0) - 3.0 * min(1.0, b.linked / n)
+    if b.box.tag in ("p", "blockquote", "pre"):
+        z += 0.5
+    elif b.box.tag in ("h1", "h2", "h3", "h4"):
+        z += 0.3
     if ENDS.search(b.text[-8:]):
         z += 0.5
-    elif n < 40:
-        z -= 0.4
     if n < 200 and RIGHTS.search(b.text):
-        z -= 1.5
+        z -= 0.8
     return z
 
 
+def tree_distance(a: Box, b: Box) -> int:
+    """Steps from one element to the other by way of the element around both."""
+    steps = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+        steps += 1
+    return steps
+
+
 def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
     """Smoothness between neighbours, and between blocks that share a container."""
     out, last = [], {}
     for i, b in enumerate(blocks):
-        box = b.path[-2] if b.tag in LEAF and len(b.path) > 1 else b.path[-1]
+        box = b.box.parent if b.box.tag in LEAF and b.box.parent else b.box
         if i:
-            a = blocks[i - 1].path
-            common = len(set(a) & set(b.path))
-            out.append((i - 1, i, NEAR / (1 + max(0, len(a) + len(b.path) - 2 * common - 2) / SPAN * 2)))
+            out.append((i - 1, i, NEAR / (1 + max(0, tree_distance(blocks[i - 1].box, b.box) - 2))))
         if (j := last.get(box, i - 1)) < i - 1:
             out.append((j, i, SAME / (1 + (i - j) / SPAN)))
         last[box] = i
@@ -301,11 +332,13 @@ def main_text(page: str | None) -> tuple[str, int, int]:
     blocks = blocks_of(page) if page else []
     if not blocks:
         return "", 0, 0
-    gain = []
-    for b in blocks:
-        z = max(-12.0, min(12.0, evidence(b)))
-        gain.append(math.log1p(math.exp(z)) - math.log1p(math.exp(-z)))  # cost as boilerplate less cost as content
-    kept = [b.text for b, yes in zip(blocks, min_cut(gain, edges_of(blocks)), strict=True) if yes]
+    gain, edges = [evidence(b) for b in blocks], edges_of(blocks)
+    label = min_cut(gain, edges)
+    if not any(label) and max(gain) >= -RAISE:
+        # the likeliest block must outweigh all that joins it to others
+        more = 1e-6 - max(gain) + sum(w for a, b, w in edges if gain.index(max(gain)) in (a, b))
+        label = min_cut([g + more if g >= -RAISE else g for g in gain], edges)
+    kept = [b.text for b, yes in zip(blocks, label, strict=True) if yes]
     return "\n".join(kept), len(blocks), len(kept)
 
 
