@@ -45,11 +45,15 @@ def filter_reads(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def cluster_strains(spark: SparkSession, args: argparse.Namespace) -> None:
-    """Marker sequences by strain to clusters of like strains, by k-mer Jaccard distance and complete linkage."""
-    seqs = spark.read.parquet(args.markers).where("not contains(seq, 'N')")
+    """Marker sequences by strain to clusters of like strains, by k-mer Jaccard distance and complete linkage.
+
+    A strain with an N in any marker is compared with none and stays alone.
+    """
+    every = spark.read.parquet(args.markers)
+    seqs = every.join(every.where("contains(seq, 'N')").select("strain_id").distinct(), "strain_id", "left_anti")
     d = cl.jaccard(cl.kmer_sets(seqs, "strain_id", "seq", args.k), "strain_id").select("a", "b", (1 - F.col("jaccard")).alias("d"))
     found = cl.complete_linkage(d, 1 - args.identity)
-    alone = seqs.select(F.col("strain_id").alias("node")).distinct().join(found, "node", "left").select(F.coalesce("cluster", "node").alias("rep"), F.col("node").alias("strain_id"))
+    alone = every.select(F.col("strain_id").alias("node")).distinct().join(found, "node", "left").select(F.coalesce("cluster", "node").alias("rep"), F.col("node").alias("strain_id"))
     writers.write_clusters(alone, args.out)
 
 

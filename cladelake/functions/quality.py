@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import math
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # ASCII offsets of the quality encodings.
 OFFSETS = {"fastq": 33, "fastq-sanger": 33, "fastq-illumina": 64, "fastq-solexa": 64}
@@ -32,15 +37,36 @@ def expected_errors(scores: Column) -> Column:
     return F.aggregate(scores, F.lit(0.0), lambda s, q: s + F.pow(F.lit(10.0), -q / 10))
 
 
-def error_log_likelihood(read: Column, fragment: Column, scores: Column) -> Column:
-    """Log-likelihood of aligned bases: a match at q > 0 is log(1 - 10^(-q/10)), a
-    mismatch with a read base other than N is -log 3 - q log(10)/10, anything else 0."""
-    three, scale = math.log(3), math.log(10) / 10
-    terms = F.transform(
-        F.arrays_zip(F.split(read, "").alias("r"), F.split(fragment, "").alias("f"), scores.alias("q")),
-        lambda x: F.when((x["r"] == x["f"]) & (x["q"] > 0), F.log1p(-F.pow(F.lit(10.0), -x["q"] / 10))).when((x["r"] != x["f"]) & (x["r"] != "N"), -three - x["q"] * scale).otherwise(0.0),
-    )
-    return F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)
+def _error_terms(read: np.ndarray, fragment: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """Each base's term; see ``error_log_likelihood``."""
+    same = read == fragment
+    with np.errstate(divide="ignore", invalid="ignore"):
+        hit = np.where(scores > 0, np.log1p(-(10.0 ** (-scores / 10))), 0.0)
+    return np.where(same, hit, np.where(read != ord("N"), -math.log(3) - scores * (math.log(10) / 10), 0.0))
+
+
+@F.pandas_udf(T.DoubleType())
+def error_log_likelihood(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Log-likelihood of aligned bases (read, fragment, scores): a match at q > 0 is log(1 - 10^(-q/10)), a
+    mismatch with a read base other than N is -log 3 - q log(10)/10, anything else 0.
+
+    Null where an argument is; lengths that differ raise. All bases of an
+    Arrow batch are one array, as an expression a base would be interpreted.
+    """
+    for read, fragment, scores in batches:
+        ok = ~(read.isna() | fragment.isna() | scores.isna())
+        r, f, q = (x[ok].tolist() for x in (read, fragment, scores))
+        size = np.array([len(x) for x in r], np.int64)
+        if any(len(x) != n or len(y) != n for x, y, n in zip(f, q, size, strict=True)):
+            raise ValueError("read, fragment and scores differ in length")
+        out = np.full(len(read), np.nan)
+        total = np.zeros(len(size))
+        if size.sum():
+            flat = [np.frombuffer("".join(x).encode("ascii"), np.uint8) for x in (r, f)]
+            terms = _error_terms(*flat, np.concatenate([np.asarray(x, float) for x in q]))
+            total[size > 0] = np.add.reduceat(terms, (np.cumsum(size) - size)[size > 0])
+        out[ok.to_numpy()] = total
+        yield pd.Series(out)
 
 
 def indel_log_likelihood(insertions: Column, deletions: Column, log_insert: float, log_delete: float, paired: bool = False) -> Column:

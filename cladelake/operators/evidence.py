@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladelake.functions.sequences import kmers, reverse_complement
+from cladelake.functions.sequences import reverse_complement
 
 
 def passes_filter(ungapped: Column, length: Column, matches: Column, aligned: Column, errors: Column, edge: Column, min_length: int = 35, identity: float = 0.975, error_rate: float = 1.0, min_ungapped: float = 0.5) -> Column:
@@ -37,19 +37,24 @@ def unpaired(forward: DataFrame, reverse: DataFrame, paired: DataFrame, pair: st
 
 
 def containment_join(fragments: DataFrame, markers: DataFrame, k: int, fragment: str = "frag", seq: str = "marker_seq", both_strands: bool = True) -> DataFrame:
-    """Exact occurrences of fragments in markers: (all columns), pos (1-based), strand.
+    """Exact occurrences of fragments in markers: (all columns but the markers' sequence), pos (1-based), strand.
 
     A fragment's first k-mer is an equi-join key against all k-mers of the
-    markers, which are then compared in full; fragments are at least k long.
+    markers; fragments are at least k long. A row of the index has the marker's
+    text from its k-mer on, as far as the longest fragment reaches, so what is
+    shuffled grows with the markers' length, not with its square.
     """
+    longest = fragments.agg(F.coalesce(F.max(F.length(fragment)), F.lit(0))).first()[0]
     probe = fragments.withColumn("probe_", F.col(fragment)).withColumn("strand", F.lit("+"))
     if both_strands:
         turned = reverse_complement(F.col(fragment))
         probe = probe.unionByName(fragments.withColumn("probe_", turned).withColumn("strand", F.lit("-")))
     probe = probe.where(F.length("probe_") >= k).withColumn("seed_", F.substring("probe_", 1, k))
-    index = markers.select("*", F.posexplode(kmers(F.col(seq), k)).alias("at_", "seed_"))
-    hit = index.join(probe, "seed_").where(F.substring(F.col(seq), F.col("at_") + 1, F.length("probe_")) == F.col("probe_"))
-    return hit.withColumn("pos", F.col("at_") + 1).drop("seed_", "at_", "probe_")
+    windows = F.transform(F.sequence(F.lit(1), F.length(seq) - k + 1), lambda i: F.substring(F.col(seq), i, F.lit(max(longest, k))))
+    others = [c for c in markers.columns if c != seq]
+    index = markers.where(F.length(seq) >= k).select(*others, F.posexplode(windows).alias("at_", "text_")).withColumn("seed_", F.substring("text_", 1, k))
+    hit = index.join(probe, "seed_").where(F.startswith("text_", "probe_"))
+    return hit.withColumn("pos", F.col("at_") + 1).drop("seed_", "at_", "probe_", "text_")
 
 
 def fragment_frequencies(matches: DataFrame, windows: list[tuple[int, float]]) -> DataFrame:
@@ -57,19 +62,20 @@ def fragment_frequencies(matches: DataFrame, windows: list[tuple[int, float]]) -
 
     Over window lengths w the frequency is the sum of P(w) n(w), where n(w) is
     the number of hits for w = length, of hits at a marker's edge for longer
-    windows, and 0 below.
+    windows, and 0 below. All windows are longer than a fragment shorter than
+    the shortest of them.
     """
     spark = matches.sparkSession
     edge = (F.col("pos") == 1) | (F.col("pos") + F.col("frag_len") - 1 == F.col("marker_len"))
     hits = matches.groupBy("frag_id", "strain_id", "frag_len").agg(F.count("*").alias("hits"), F.count_if(edge).alias("edge_hits"))
-    table = spark.createDataFrame(windows, "w int, logp double")
     low, tail = [], -math.inf  # a table by length instead of a join with all windows: P(len), and P(> len)
     for w, lp in reversed(windows):
         low.append((w, lp, tail))
         tail = lp if tail == -math.inf else max(tail, lp) + math.log1p(math.exp(-abs(tail - lp)))
     table = spark.createDataFrame(low, "frag_len int, log_at double, log_over double")
-    joined = hits.join(F.broadcast(table), "frag_len")
-    total = F.col("hits") * F.exp("log_at") + F.col("edge_hits") * F.exp("log_over")
+    joined = hits.join(F.broadcast(table), "frag_len", "left")
+    beyond = F.when(F.col("frag_len") < min(w for w, _ in windows), math.exp(tail)).otherwise(0.0) if windows else F.lit(0.0)
+    total = F.col("hits") * F.coalesce(F.exp("log_at"), F.lit(0.0)) + F.col("edge_hits") * F.coalesce(F.exp("log_over"), beyond)
     return joined.where(total > 0).select("frag_id", "strain_id", F.log(total).alias("logfreq"))
 
 

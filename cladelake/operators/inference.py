@@ -224,7 +224,7 @@ def elbo(params: dict, eps: np.ndarray, gumbel: np.ndarray, dt: np.ndarray, temp
     p = 1 / (1 + np.exp(-pres))
     entropy = np.logaddexp(0, pres) - pres * p
     total += entropy.sum() + (p * math.log(prior) + (1 - p) * math.log1p(-prior)).sum()
-    gu = ga.sum(0) * (1 / (1 + np.exp(u)))
+    gu = ga.sum(0) * np.exp(-np.logaddexp(0, u))
     grads = {"mean": gx.sum(1), "log_scale": (gx * eps).sum(1) * scale + 1.0, "presence": gu.sum(0) / temperature + p * (1 - p) * (math.log(prior) - math.log1p(-prior) - pres)}
     return float(total), grads
 
@@ -258,7 +258,7 @@ def infer(marginal: DataFrame, marker_lengths: dict, epochs: int = 50, iteration
         for _ in range(iterations):
             eps = rng.standard_normal((shape[0], samples, shape[1]))
             q = rng.random((samples, shape[1]))
-            value, grads = elbo(params, eps, np.log(q) - np.log1p(-q), dt, max(temperature, 0.5), data, lengths, reads, prior)
+            value, grads = elbo(params, eps, np.log(q) - np.log1p(-q), dt, temperature, data, lengths, reads, prior)
             adam.ascend(params, grads)
             values.append(value)
         trace.append(float(np.mean(values)))
@@ -294,10 +294,13 @@ def _local_data(pdf, n_t: int, n_s: int):
 # ---- importance-weight diagnostic
 
 def fit_generalised_pareto(x: np.ndarray) -> tuple[float, float]:
-    """(shape k, scale sigma) of exceedances by a profile-posterior mean over a grid of the one free parameter."""
+    """(shape k, scale sigma) of exceedances by a profile-posterior mean over a grid of the one free parameter.
+
+    The shape is drawn towards one half as by ten more observations.
+    """
     x = np.sort(np.asarray(x, float))
     n = len(x)
-    m = 30 + int(math.sqrt(n))
+    m = 20 + int(math.sqrt(n))
     quart = x[max(int(n / 4 + 0.5) - 1, 0)]
     theta = 1 / x[-1] + (1 - np.sqrt(m / (np.arange(1, m + 1) - 0.5))) / (3 * quart)
     k = np.log1p(-theta[:, None] * x).mean(1)
@@ -305,12 +308,12 @@ def fit_generalised_pareto(x: np.ndarray) -> tuple[float, float]:
     w = np.exp(score - score.max())
     best = (theta * w).sum() / w.sum()
     shape = np.log1p(-best * x).mean()
-    return float(shape), float(-shape / best)
+    return float((n * shape + 5) / (n + 10)), float(-shape / best)
 
 
 def tail_size(n: int) -> int:
-    """How many of n weights are the tail."""
-    return int(min(0.2 * n, 3 * math.sqrt(n)))
+    """How many of n weights are the tail, ties with the largest outside it apart."""
+    return math.ceil(min(0.2 * n, 3 * math.sqrt(n)))
 
 
 def psis_shape(weights: DataFrame, log_weight: str) -> tuple[int, float]:
@@ -322,27 +325,32 @@ def psis_shape(weights: DataFrame, log_weight: str) -> tuple[int, float]:
     lw = weights.select(F.col(log_weight).cast("double").alias("v")).where("v is not null")
     n = lw.count()
     tail = tail_size(n)
-    if tail < 5:
-        return n, math.inf
     most = np.array([r[0] for r in lw.orderBy(F.desc("v")).limit(tail + 1).collect()])[::-1]
+    if n <= tail or not n:
+        return n, math.inf
     most -= most[-1]
-    top = np.exp(most[1:]) - math.exp(most[0])
-    return n, fit_generalised_pareto(top)[0] if (top > 0).all() else math.inf
+    top = np.exp(most[most > most[0]]) - math.exp(most[0])
+    return n, fit_generalised_pareto(top)[0] if len(top) >= 5 else math.inf
+
 
+def psis(log_weights: np.ndarray, least: float = 1 / 3) -> tuple[np.ndarray, float]:
+    """Smoothed, normalised log weights and the tail's shape.
 
-def psis(log_weights: np.ndarray) -> tuple[np.ndarray, float]:
-    """Smoothed, normalised log weights and the tail's shape: the largest weights give way to quantiles of a fitted Pareto tail."""
+    The weights above the tail's cut give way to quantiles of a fitted Pareto
+    tail if its shape is ``least`` or more. With fewer than five of them the
+    shape is infinite and nothing is smoothed.
+    """
     lw = np.asarray(log_weights, float) - np.max(log_weights)
     n = len(lw)
     tail = tail_size(n)
     order = np.argsort(lw, kind="stable")
     shape = math.inf
-    if tail >= 5:
+    if n > tail:
         cut = lw[order[-tail - 1]]
-        top = np.exp(lw[order[-tail:]]) - math.exp(cut)
-        if top[-1] > 0 and (top > 0).all():
-            shape, scale = fit_generalised_pareto(top)
-            q = (np.arange(1, tail + 1) - 0.5) / tail
-            smooth = -scale * np.log1p(-q) if abs(shape) < 1e-12 else scale * np.expm1(-shape * np.log1p(-q)) / shape
-            lw[order[-tail:]] = np.minimum(np.log(smooth + math.exp(cut)), 0)
+        above = order[lw[order] > cut]
+        if len(above) >= 5:
+            shape, scale = fit_generalised_pareto(np.exp(lw[above]) - math.exp(cut))
+            if shape >= least:
+                q = (np.arange(1, len(above) + 1) - 0.5) / len(above)
+                lw[above] = np.minimum(np.log(scale * np.expm1(-shape * np.log1p(-q)) / shape + math.exp(cut)), 0)
     return lw - (np.max(lw) + math.log(np.exp(lw - np.max(lw)).sum())), shape

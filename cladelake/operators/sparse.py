@@ -9,12 +9,16 @@ from cladelake.functions.numeric import logsumexp, softmax
 from cladelake.operators.ranking import global_rank
 
 
-def lse_matmul(a: DataFrame, b: DataFrame, on: list[str], keys: list[str], a_value: str, b_value: str, out: str = "ll") -> DataFrame:
+def lse_matmul(a: DataFrame, b: DataFrame, on: list[str], keys: list[str], a_value: str, b_value: str, out: str = "ll", deal: list[str] | None = None) -> DataFrame:
     """Log-semiring product: join on the inner index, log-sum-exp over it.
 
-    Few inner indices lead to one cell, so the product's rows are shuffled once.
+    Few inner indices lead to one cell, so the product's rows are shuffled
+    once: by the cell, or by ``deal``, some of its keys, where what follows
+    works by those and can stay in that partitioning.
     """
     joined = a.join(b, on).withColumn("x_", F.col(a_value) + F.col(b_value)).select(*keys, "x_")
+    if deal:
+        joined = joined.repartition(*deal)
     return logsumexp(joined, keys, "x_", out, small_groups=True)
 
 
@@ -38,8 +42,9 @@ def correlation(df: DataFrame, item: list[str], choice: str, value: str) -> Data
     """Correlation of the choices' softmax shares over items.
 
     Shares missing for an item are zero, so moments divide by the number of
-    items, not of rows. Pairs that share no item have E[pp'] = 0 and come out
-    of the product of means.
+    items, not of rows. Pairs that share no item are not returned: with
+    E[pp'] = 0 theirs is -x y / (sx sy) of the choices' means and deviations,
+    and there are as many of them as choices squared.
     """
     p = df.select(*item, F.col(choice).alias("s"), softmax(F.col(value), item).alias("p"))
     n = df.select(*item).distinct().agg(F.count("*").alias("n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from cladelake.operators import sparse as sp
 from cladelake.plans.fixtures import run, view
 from cladelake.sources import readers as rd
 from cladelake.sources import writers as wr
+from cladelake.sources.spool import shared_dir
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -54,7 +56,7 @@ def marginal(spark: SparkSession, sf: str) -> DataFrame:
     hit = view(spark, sf, "fx_hit")
     a = hit.groupBy("t", "read_id", "frag_id").agg(F.max("ll").alias("v"))
     b = hit.groupBy("frag_id", "strain_id").agg(F.log(F.count("*")).alias("w"))
-    return sp.lse_matmul(a, b, ["frag_id"], ["t", "read_id", "strain_id"], "v", "w").withColumn("ll", r6("ll"))
+    return sp.lse_matmul(a, b, ["frag_id"], ["t", "read_id", "strain_id"], "v", "w", deal=["t", "read_id"]).withColumn("ll", r6("ll"))
 
 
 @query(f"WITH {MARGINAL}, v AS (SELECT p.t, p.strain_id, count(*) AS votes FROM p JOIN (SELECT t, read_id, max(ll) AS top FROM p GROUP BY t, read_id) q ON p.t = q.t AND p.read_id = q.read_id AND p.ll = q.top GROUP BY p.t, p.strain_id) SELECT t, strain_id, votes, round(votes / sum(votes) OVER (PARTITION BY t), 6) AS share FROM v")
@@ -112,9 +114,9 @@ def batch_split(spark, sf):
     return sp.dense_index(view(spark, sf, "fx_hit"), "read_id", "ord").groupBy(F.floor(F.col("idx") / 1000).cast("bigint").alias("batch")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT t, read_id, count(*) AS n FROM fx_hit WHERE ll > -100 AND strain_id % 7 = 0 GROUP BY t, read_id")
+@query("SELECT t, read_id, count(*) AS n FROM fx_hit WHERE ll > -100 GROUP BY t, read_id")
 def prune_reads(spark, sf):
-    hit = view(spark, sf, "fx_hit").where("strain_id % 7 = 0")
+    hit = view(spark, sf, "fx_hit")
     alive = hit.where("ll > -100").select("t", "read_id").distinct()
     return hit.where("ll > -100").join(alive, ["t", "read_id"], "left_semi").groupBy("t", "read_id").agg(F.count("*").alias("n"))
 
@@ -147,9 +149,9 @@ def mate_prefix(spark, sf):
     return ids.groupBy(prefix.alias("pair_id")).agg(F.count("*").alias("mates"), F.coalesce(F.max(F.when(F.col("is_forward"), F.col("turn"))), F.lit(-1)).alias("fwd"), F.coalesce(F.max(F.when(~F.col("is_forward"), F.col("turn"))), F.lit(-1)).alias("rev"))
 
 
-@query("SELECT i.strain_id, i.s, i.e, i.strand, CASE WHEN i.strand = '-' THEN reverse(translate(substr(q.seq, i.a, i.b - i.a + 1), 'ACGT', 'TGCA')) ELSE substr(q.seq, i.a, i.b - i.a + 1) END AS cut FROM (SELECT *, s % 100 + 1 AS a, s % 100 + 30 AS b FROM fx_interval WHERE ord % 5 = 0) i JOIN fx_seq q ON q.seq_id = i.strain_id WHERE length(q.seq) >= i.b")
+@query("SELECT i.strain_id, i.s, i.e, i.strand, CASE WHEN i.strand = '-' THEN reverse(translate(substr(q.seq, i.a, i.b - i.a + 1), 'ACGT', 'TGCA')) ELSE substr(q.seq, i.a, i.b - i.a + 1) END AS cut FROM (SELECT *, s % 100 + 1 AS a, s % 100 + 30 AS b FROM fx_interval) i JOIN fx_seq q ON q.seq_id = i.strain_id WHERE length(q.seq) >= i.b")
 def marker_extract(spark, sf):
-    i = view(spark, sf, "fx_interval").where("ord % 5 = 0").selectExpr("*", "cast(s % 100 + 1 as int) as a", "cast(s % 100 + 30 as int) as b")
+    i = view(spark, sf, "fx_interval").selectExpr("*", "cast(s % 100 + 1 as int) as a", "cast(s % 100 + 30 as int) as b")
     q = view(spark, sf, "fx_seq").withColumnRenamed("seq_id", "strain_id")
     return i.join(q, "strain_id").where(F.length("seq") >= F.col("b")).select("strain_id", "s", "e", "strand", sq.subsequence(F.col("seq"), F.col("a"), F.col("b"), F.col("strand")).alias("cut"))
 
@@ -167,9 +169,9 @@ def blast_normalize(spark, sf):
     return rd.normalise_blast(hits, 75).select("ord", "read_id", "sstart", "send", "strand")
 
 
-@query("SELECT o_orderkey, o_orderstatus AS gene, 'p' || o_orderkey AS last_dup FROM orders WHERE o_orderkey % 2 = 0")
+@query("SELECT o_orderkey, o_orderstatus AS gene, 'p' || o_orderkey AS last_dup FROM orders")
 def gff_attr_map(spark, sf):
-    o = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 2 = 0")
+    o = spark.read.parquet(f"{sf}/orders.parquet")
     text = F.concat(F.lit("gbkey=Gene;gene="), F.col("o_orderstatus"), F.lit(";Name=x;p=0;p=p"), F.col("o_orderkey").cast("string"))
     attr = rd.attributes(text)
     return o.select("o_orderkey", attr["gene"].alias("gene"), attr["p"].alias("last_dup"))
@@ -200,12 +202,12 @@ def abund_pivot(spark, sf):
     return ab.to_wide(run(spark, sf, PROFILE), strains=["click", "purchase", "view"])
 
 
-VECTORS = "SELECT a.vec_id AS i, b.vec_id AS j, round(abs(a.embedding[{0}] - b.embedding[{0}]), 6) AS d FROM fx_vec a JOIN fx_vec b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id < 100 AND b.vec_id < 100"
+TRIANGLE = "SELECT least(l_partkey, l_suppkey) AS i, greatest(l_partkey, l_suppkey) AS j, cast(sum(l_quantity) AS bigint) AS d FROM lineitem WHERE l_partkey <> l_suppkey GROUP BY 1, 2"
 
 
-@query(f"WITH p AS ({VECTORS.format(1)}) SELECT i, j, d FROM p UNION ALL SELECT j AS i, i AS j, d FROM p")
+@query(f"WITH p AS ({TRIANGLE}) SELECT i, j, d FROM p UNION ALL SELECT j AS i, i AS j, d FROM p")
 def symmetrize(spark, sf):
-    return cl.symmetrize(run(spark, sf, VECTORS.format(0)), "i", "j", "d")
+    return cl.symmetrize(run(spark, sf, TRIANGLE), "i", "j", "d")
 
 
 # ---- filters
@@ -271,13 +273,13 @@ def unpaired_anti(spark, sf):
     return ev.unpaired(f, r, ev.mate_pairs(f, r, "pair_id", "strain_id", "ll"), "pair_id").select("conv_id", "turn", "pair_id", "strain_id")
 
 
-EXACT = "WITH f AS (SELECT DISTINCT substr(seq, 11, 24) AS frag FROM fx_seq WHERE length(seq) >= 60 AND seq_id % 40 = 0), g AS (SELECT frag, frag AS probe, '+' AS strand FROM f UNION ALL SELECT frag, reverse(translate(frag, 'ACGT', 'TGCA')), '-' FROM f), m AS (SELECT seq_id, seq, unnest(range(1, greatest(length(seq) - 22, 1))) AS pos FROM fx_seq WHERE length(seq) >= 24)"
+EXACT = "WITH f AS (SELECT DISTINCT substr(seq, 11, 24) AS frag FROM fx_seq WHERE length(seq) >= 60), g AS (SELECT frag, frag AS probe, '+' AS strand FROM f UNION ALL SELECT frag, reverse(translate(frag, 'ACGT', 'TGCA')), '-' FROM f), m AS (SELECT seq_id, seq, unnest(range(1, greatest(length(seq) - 22, 1))) AS pos FROM fx_seq WHERE length(seq) >= 24)"
 
 
 @query(f"{EXACT} SELECT g.frag, g.strand, m.seq_id, m.pos FROM m JOIN g ON substr(m.seq, m.pos, 24) = g.probe")
 def exact_match_join(spark, sf):
     s = view(spark, sf, "fx_seq")
-    frags = s.where("length(seq) >= 60 and seq_id % 40 = 0").select(F.substring("seq", 11, 24).alias("frag")).distinct()
+    frags = s.where("length(seq) >= 60").select(F.substring("seq", 11, 24).alias("frag")).distinct()
     return ev.containment_join(frags, s.where("length(seq) >= 24").withColumnRenamed("seq", "marker_seq"), 15).select("frag", "strand", "seq_id", F.col("pos").cast("bigint").alias("pos"))
 
 
@@ -306,13 +308,17 @@ def best_match(spark, sf):
     return ev.best_match(m, m.where("strain_id = 5"), "marker", "strain_id")
 
 
-FREQ = "SELECT frag_id, strain_id, ln(count(*)) AS logfreq FROM fx_hit WHERE frag_id <= 200 GROUP BY frag_id, strain_id"
+FREQ = "SELECT frag_id, strain_id, ln(count(*)) AS logfreq FROM fx_hit GROUP BY frag_id, strain_id"
+
 
+NEXT = "SELECT frag_id, strain_id, frag_id + unnest(range(1, 5)) AS other FROM f"
 
-@query(f"WITH f AS ({FREQ}), p AS (SELECT DISTINCT a.frag_id AS frag1, b.frag_id AS frag2 FROM f a JOIN f b ON a.strain_id = b.strain_id AND a.frag_id < b.frag_id AND b.frag_id < a.frag_id + 5) SELECT p.frag1, p.frag2, a.strain_id, round(a.logfreq + b.logfreq, 6) AS logfreq FROM p JOIN f a ON p.frag1 = a.frag_id JOIN f b ON p.frag2 = b.frag_id AND a.strain_id = b.strain_id")
+
+@query(f"WITH f AS ({FREQ}), n AS ({NEXT}) SELECT n.frag_id AS frag1, b.frag_id AS frag2, n.strain_id, round(a.logfreq + b.logfreq, 6) AS logfreq FROM n JOIN f a ON a.frag_id = n.frag_id AND a.strain_id = n.strain_id JOIN f b ON b.frag_id = n.other AND b.strain_id = n.strain_id")
 def pair_freq_join(spark, sf):
     f = run(spark, sf, FREQ)
-    pairs = run(spark, sf, f"WITH f AS ({FREQ}) SELECT DISTINCT a.frag_id AS frag1, b.frag_id AS frag2 FROM f a JOIN f b ON a.strain_id = b.strain_id AND a.frag_id < b.frag_id AND b.frag_id < a.frag_id + 5")
+    shared = f.select(F.col("frag_id").alias("frag1"), "strain_id", F.explode(F.array(*[F.col("frag_id") + k for k in range(1, 5)])).alias("frag2"))
+    pairs = shared.join(f.select(F.col("frag_id").alias("frag2"), "strain_id"), ["frag2", "strain_id"], "left_semi").select("frag1", "frag2").distinct()
     return ev.pair_frequencies(pairs, f).select("frag1", "frag2", "strain_id", r6("logfreq").alias("logfreq"))
 
 
@@ -324,7 +330,7 @@ def interval_merge(spark, sf):
     return iv.merge(view(spark, sf, "fx_interval"), ["strain_id", "gene"], "s", "e", ["ord", "read_id"])
 
 
-GFF = "SELECT strain_id, 'g' || cast(s % 97 AS string) AS name, s + 10 AS gs, e + 10 AS ge, ord AS gord FROM fx_interval WHERE gene = 'N' AND ord % 3 = 0"
+GFF = "SELECT strain_id, 'g' || cast(s % 97 AS string) AS name, s + 10 AS gs, e + 10 AS ge, ord AS gord FROM fx_interval WHERE gene = 'N'"
 
 
 @query(f"WITH g AS ({GFF}) SELECT i.ord, i.read_id, g.name, greatest(i.s, g.gs) AS clip_start, least(i.e, g.ge) AS clip_end FROM fx_interval i JOIN g ON i.strain_id = g.strain_id AND i.s <= g.ge AND g.gs <= i.e WHERE i.gene = 'A'")
@@ -368,7 +374,7 @@ def sample_shape(spark, sf):
 
 
 WINDOWS = nm.nbinom_logpmf(20.0, 0.25, range(40, 81))
-EXACT_HITS = "SELECT frag_id, strain_id, cast(40 + frag_id % 30 AS int) AS frag_len, cast(200 AS int) AS marker_len, cast(ord % 161 + 1 AS int) AS pos FROM fx_hit WHERE frag_id <= 300"
+EXACT_HITS = "SELECT frag_id, strain_id, cast(40 + frag_id % 30 AS int) AS frag_len, cast(200 AS int) AS marker_len, cast(ord % 161 + 1 AS int) AS pos FROM fx_hit"
 
 
 @query(f"WITH w AS (SELECT * FROM (VALUES {', '.join(f'({w}, {lp!r})' for w, lp in WINDOWS)}) v(w, lp)), h AS (SELECT frag_id, strain_id, frag_len, count(*) AS n, count(CASE WHEN pos = 1 OR pos + frag_len - 1 = marker_len THEN 1 END) AS n_edge FROM ({EXACT_HITS}) x GROUP BY frag_id, strain_id, frag_len) SELECT frag_id, strain_id, round(ln(sum(exp(lp) * CASE WHEN w = frag_len THEN n WHEN w > frag_len THEN n_edge ELSE 0 END)), 6) AS logfreq FROM h, w GROUP BY frag_id, strain_id")
@@ -468,19 +474,19 @@ def alignment_reconstruct(spark, sf):
     return both.select("seq_id", made.alias("x")).select("seq_id", "x.marker_aln", "x.read_aln", "x.marker_start", "x.marker_end")
 
 
-PAIRED = "SELECT a.seq_id, substr(a.seq, 1, 40) AS x, substr(b.seq, 1, 40) AS y FROM fx_seq a JOIN fx_seq b ON b.seq_id = a.seq_id + 1 WHERE length(a.seq) >= 40 AND length(b.seq) >= 40"
+PAIRED = "SELECT seq_id, rpad(s, n, '-') AS x, rpad(r, n, '-') AS y, n FROM (SELECT a.seq_id, a.seq AS s, b.seq AS r, cast(greatest(length(a.seq), length(b.seq)) AS int) AS n FROM fx_seq a JOIN fx_seq b ON b.seq_id = a.seq_id + 1) p"
 
 
-@query(f"SELECT seq_id, cast(list_sum([CASE WHEN x[i] = y[i] THEN 1 ELSE 0 END for i in range(1, 41)]) AS int) AS same FROM ({PAIRED}) p")
+@query(f"SELECT seq_id, cast(coalesce(list_sum([CASE WHEN x[i] = y[i] THEN 1 ELSE 0 END for i in range(1, n + 1)]), 0) AS int) AS same FROM ({PAIRED}) p")
 def aln_identity(spark, sf):
     return run(spark, sf, PAIRED).select("seq_id", al.matches(F.col("x"), F.col("y")).alias("same"))
 
 
-@query(f"SELECT seq_id, round(list_sum([CASE WHEN x[i] = y[i] AND i % 40 > 0 THEN ln(1 - pow(10, -(i % 40) / 10.0)) WHEN x[i] <> y[i] AND x[i] <> 'N' THEN -ln(3) - (i % 40) * ln(10) / 10 ELSE 0 END for i in range(1, 41)]) + 2 * (-4 - ln(4)) + 1 * -4 - ln(2), 6) AS ll FROM ({PAIRED}) p")
+@query(f"SELECT seq_id, round(coalesce(list_sum([CASE WHEN x[i] = y[i] AND i % 40 > 0 THEN ln(1 - pow(10, -(i % 40) / 10.0)) WHEN x[i] <> y[i] AND x[i] <> 'N' THEN -ln(3) - (i % 40) * ln(10) / 10 ELSE 0 END for i in range(1, n + 1)]), 0) + 2 * (-4 - ln(4)) + 1 * -4 - ln(2), 4) AS ll FROM ({PAIRED}) p")
 def phred_loglik(spark, sf):
-    q = F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: (i % 40).cast("double"))
+    q = F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: (i % 40).cast("double"))).otherwise(F.array().cast("array<double>"))
     base = ql.error_log_likelihood(F.col("x"), F.col("y"), q) + ql.indel_log_likelihood(F.lit(2), F.lit(1), -4.0, -4.0) - math.log(2)
-    return run(spark, sf, PAIRED).select("seq_id", r6(base).alias("ll"))
+    return run(spark, sf, PAIRED).select("seq_id", r6(base, 4).alias("ll"))
 
 
 @query("SELECT p_partkey, p_name || '|' || p_partkey AS composed, p_brand || '$' || (p_partkey % 7) AS indexed, split_part(p_name || '|' || p_partkey, '|', 2) AS parsed FROM part")
@@ -496,59 +502,66 @@ def expit_entropy(spark, sf):
     return view(spark, sf, "fx_series").select("sample_no", r6(nm.expit(v), 9).alias("p"), r6(nm.bernoulli_entropy(v), 9).alias("entropy"))
 
 
-@query()
+@query("SELECT cast(k AS int) AS w, round(lgamma(k + 20.0) - lgamma(k + 1.0) - lgamma(20.0) + 20 * ln(0.25) + k * ln(0.75), 9) AS logp FROM (SELECT unnest(range(40, 81)) AS k) x")
 def nbinom_logpmf(spark, sf):
-    return spark.createDataFrame(WINDOWS, "w int, logp double")
+    return spark.createDataFrame(WINDOWS, "w int, logp double").withColumn("logp", r6("logp", 9))
 
 
 # ---- similarity and clustering
 
-SETS = "SELECT DISTINCT seq_id, substr(seq, i, 6) AS kmer FROM (SELECT seq_id, seq, unnest(range(1, greatest(length(seq) - 4, 1))) AS i FROM fx_seq WHERE seq_id < 60 AND length(seq) >= 6) x"
+ONE_EACH = "SELECT min(seq_id) AS seq_id, seq FROM fx_seq GROUP BY seq"
+SETS = f"SELECT DISTINCT seq_id, substr(seq, i, 15) AS kmer FROM (SELECT seq_id, seq, unnest(range(1, greatest(length(seq) - 13, 1))) AS i FROM ({ONE_EACH}) o WHERE length(seq) >= 15) x"
+JACCARD = f"s AS ({SETS}), n AS (SELECT seq_id, count(*) AS n FROM s GROUP BY seq_id), c AS (SELECT a.seq_id AS a, b.seq_id AS b, count(*) AS c FROM s a JOIN s b ON a.kmer = b.kmer AND a.seq_id < b.seq_id GROUP BY 1, 2)"
 
 
 def _sets(spark, sf):
-    return cl.kmer_sets(view(spark, sf, "fx_seq").where("seq_id < 60"), "seq_id", "seq", 6)
+    """15-mers of each distinct sequence, under its smallest id."""
+    return cl.kmer_sets(run(spark, sf, ONE_EACH), "seq_id", "seq", 15)
 
 
-@query(f"WITH s AS ({SETS}), n AS (SELECT seq_id, count(*) AS n FROM s GROUP BY seq_id), c AS (SELECT a.seq_id AS a, b.seq_id AS b, count(*) AS c FROM s a JOIN s b ON a.kmer = b.kmer AND a.seq_id < b.seq_id GROUP BY 1, 2) SELECT c.a, c.b, round(c.c / (x.n + y.n - c.c), 6) AS jaccard FROM c JOIN n x ON c.a = x.seq_id JOIN n y ON c.b = y.seq_id")
+@query("SELECT seq_id, min(seq_id) OVER (PARTITION BY seq) AS class_id FROM fx_seq")
+def seq_classes(spark, sf):
+    """Copies of a sequence, compared once by their class in the queries below."""
+    return cl.classes(view(spark, sf, "fx_seq"), "seq_id", "seq")
+
+
+@query(f"WITH {JACCARD} SELECT c.a, c.b, round(c.c / (x.n + y.n - c.c), 6) AS jaccard FROM c JOIN n x ON c.a = x.seq_id JOIN n y ON c.b = y.seq_id WHERE c.c / (x.n + y.n - c.c) >= 0.8")
 def jaccard_kmer(spark, sf):
-    return cl.jaccard(_sets(spark, sf), "seq_id").withColumn("jaccard", r6("jaccard"))
+    return cl.jaccard(_sets(spark, sf), "seq_id", least=0.8).withColumn("jaccard", r6("jaccard"))
 
 
-@query(f"WITH s AS ({SETS}), g AS (SELECT seq_id, h, min(md5(h || ':' || kmer)) AS sig FROM s, (SELECT unnest(range(16)) AS h) f GROUP BY seq_id, h) SELECT a.seq_id AS a, b.seq_id AS b, round(count(*) / 16.0, 6)::DOUBLE AS estimate FROM g a JOIN g b ON a.h = b.h AND a.sig = b.sig AND a.seq_id < b.seq_id GROUP BY 1, 2")
+@query(f"WITH s AS ({SETS}), g AS (SELECT seq_id, h, min(md5(h || ':' || kmer)) AS sig FROM s, (SELECT unnest(range(16)) AS h) f GROUP BY seq_id, h) SELECT a.seq_id AS a, b.seq_id AS b, round(count(*) / 16.0, 6)::DOUBLE AS estimate FROM g a JOIN g b ON a.h = b.h AND a.sig = b.sig AND a.seq_id < b.seq_id GROUP BY 1, 2 HAVING count(*) >= 13")
 def minhash_est(spark, sf):
-    return cl.minhash_similarity(cl.minhash(_sets(spark, sf), "seq_id", 16), "seq_id", 16).withColumn("estimate", r6("estimate"))
+    return cl.minhash_similarity(cl.minhash(_sets(spark, sf), "seq_id", 16), "seq_id", 16, 13).withColumn("estimate", r6("estimate"))
 
 
-@query("WITH s AS (SELECT seq_id, substr(seq, 1, 50) AS q FROM fx_seq WHERE seq_id < 60 AND length(seq) >= 50) SELECT a.seq_id AS a, b.seq_id AS b, cast(list_sum([CASE WHEN a.q[i] <> b.q[i] THEN 1 ELSE 0 END for i in range(1, 51)]) AS int) AS d FROM s a JOIN s b ON a.seq_id < b.seq_id")
+@query(f"WITH s AS ({ONE_EACH}) SELECT a.seq_id AS a, b.seq_id AS b, cast(hamming(a.seq, b.seq) AS int) AS d FROM s a JOIN s b ON length(a.seq) = length(b.seq) AND length(a.seq) > 0 AND a.seq_id < b.seq_id WHERE hamming(a.seq, b.seq) <= 3")
 def pairwise_hamming(spark, sf):
-    s = view(spark, sf, "fx_seq").where("seq_id < 60 and length(seq) >= 50").select("seq_id", F.substring("seq", 1, 50).alias("q"))
-    b = s.select(F.col("seq_id").alias("b"), F.col("q").alias("p"))
-    return s.join(b, F.col("seq_id") < F.col("b")).select(F.col("seq_id").alias("a"), "b", sq.hamming(F.col("q"), F.col("p")).alias("d"))
+    return cl.hamming_pairs(run(spark, sf, ONE_EACH).where("length(seq) > 0"), "seq_id", "seq", 3)
 
 
 @query()
 def complete_linkage(spark, sf):
-    d = cl.jaccard(_sets(spark, sf), "seq_id").select("a", "b", (1 - F.col("jaccard")).alias("d"))
-    return cl.complete_linkage(d, 0.9)
+    d = cl.jaccard(_sets(spark, sf), "seq_id", least=0.8).select("a", "b", (1 - F.col("jaccard")).alias("d"))
+    return cl.complete_linkage(d, 0.2)
 
 
-@query("""WITH c AS (SELECT vec_id AS node, label AS cluster, embedding[1] AS x FROM fx_vec WHERE vec_id < 200),
-d AS (SELECT a.node AS a, b.node AS b, abs(cast(a.x AS double) - cast(b.x AS double)) AS d FROM c a JOIN c b ON a.node <> b.node),
+@query(f"""WITH c AS (SELECT p_partkey AS node, p_size AS cluster FROM part), p AS ({TRIANGLE}),
+d AS (SELECT i AS a, j AS b, d FROM p UNION ALL SELECT j, i, d FROM p),
 m AS (SELECT d.a, o.cluster AS k, sum(d.d) / n.n AS m FROM d JOIN c o ON d.b = o.node JOIN (SELECT cluster, count(*) AS n FROM c GROUP BY cluster) n ON n.cluster = o.cluster GROUP BY d.a, o.cluster, n.n),
 j AS (SELECT m.*, c.cluster FROM m JOIN c ON m.a = c.node),
 v AS (SELECT cluster, k, avg(m) AS cm FROM j GROUP BY cluster, k),
 o AS (SELECT j.cluster, j.a, round(sum(abs(j.m - v.cm)), 9) AS gap FROM j JOIN v ON j.cluster = v.cluster AND j.k = v.k GROUP BY j.cluster, j.a)
 SELECT cluster, a AS medoid FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY gap, a) AS r FROM o) x WHERE r = 1""")
 def cluster_medoid(spark, sf):
-    c = run(spark, sf, "SELECT vec_id AS node, label AS cluster, cast(embedding[0] AS double) AS x FROM fx_vec WHERE vec_id < 200")
-    d = c.select(F.col("node").alias("a"), F.col("x").alias("xa")).join(c.select(F.col("node").alias("b"), F.col("x").alias("xb")), F.col("a") != F.col("b")).select("a", "b", F.abs(F.col("xa") - F.col("xb")).alias("d"))
-    return cl.medoids(d, c.select("node", "cluster")).select("cluster", "medoid")
+    d = cl.symmetrize(run(spark, sf, TRIANGLE), "i", "j", "d").select(F.col("i").alias("a"), F.col("j").alias("b"), "d")
+    part = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("node"), F.col("p_size").alias("cluster"))
+    return cl.medoids(d, part).select("cluster", "medoid")
 
 
-@query("SELECT s.s_suppkey AS strain_id, string_agg(coalesce(f.gene, repeat('-', 3)), '' ORDER BY g.g) AS joined FROM supplier s CROSS JOIN (SELECT unnest(['A', 'N', 'R']) AS g) g LEFT JOIN (SELECT strain_id, gene AS g, repeat(gene, 3) AS gene FROM fx_interval WHERE ord % 2 = 0 GROUP BY strain_id, gene) f ON f.strain_id = s.s_suppkey AND f.g = g.g GROUP BY s.s_suppkey")
+@query("SELECT s.s_suppkey AS strain_id, string_agg(coalesce(f.gene, repeat('-', 3)), '' ORDER BY g.g) AS joined FROM supplier s CROSS JOIN (SELECT unnest(['A', 'N', 'R']) AS g) g LEFT JOIN (SELECT strain_id, gene AS g, repeat(gene, 3) AS gene FROM fx_interval GROUP BY strain_id, gene) f ON f.strain_id = s.s_suppkey AND f.g = g.g GROUP BY s.s_suppkey")
 def concat_gapfill(spark, sf):
-    have = view(spark, sf, "fx_interval").where("ord % 2 = 0").select("strain_id", "gene").distinct().withColumn("aln", F.repeat("gene", F.lit(3)))
+    have = view(spark, sf, "fx_interval").select("strain_id", "gene").distinct().withColumn("aln", F.repeat("gene", F.lit(3)))
     grid = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("strain_id"), F.explode(F.array(*map(F.lit, "ANR"))).alias("gene"))
     full = grid.join(have, ["strain_id", "gene"], "left").withColumn("aln", F.coalesce("aln", F.repeat(F.lit("-"), F.lit(3))))
     return full.groupBy("strain_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("gene", "aln"))), lambda x: x["aln"]), "").alias("joined"))
@@ -611,14 +624,11 @@ def psis_tail(spark, sf):
     return spark.createDataFrame([(float(k),)], "shape double")
 
 
-@query()
+@query("SELECT 'r' || seq_id AS read_id, seq, cast(length(seq) AS int) AS n, round(list_sum([pow(10, -(ascii(c) % 40) / 10.0) for c in string_split(seq, '')]), 6) AS errors FROM fx_seq WHERE length(seq) > 0")
 def fastq_parse(spark, sf):
     """Four-line records written from documents and read back."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="cladelake-fq-")
-    path = f"{base.rstrip('/')}/fastq-{spark.sparkContext.applicationId}-{id(spark)}"
+    path = f"{shared_dir(spark)}/fastq-{uuid.uuid4().hex}"
     seqs = view(spark, sf, "fx_seq").where("length(seq) > 0")
     reads = seqs.select(F.concat(F.lit("r"), F.col("seq_id").cast("string")).alias("read_id"), "seq", F.transform(F.split("seq", ""), lambda c: (F.ascii(c) % 40).cast("double")).alias("qual"), F.lit("sim").alias("meta"))
-    reads.select(F.concat_ws("\n", F.concat(F.lit("@"), F.concat_ws(" ", "read_id", "meta")), F.col("seq"), F.lit("+"), ql.encode(F.col("qual"))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    reads.select(F.concat_ws("\n", F.concat(F.lit("@"), F.concat_ws(" ", "read_id", "meta")), F.col("seq"), F.lit("+"), ql.encode(F.col("qual"))).alias("value")).write.text(path)
     return rd.read_fastq(spark, path).select("read_id", "seq", F.size("qual").alias("n"), r6(ql.expected_errors(F.col("qual")), 6).alias("errors"))

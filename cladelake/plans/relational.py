@@ -12,7 +12,7 @@ TEXTS: dict[str, str] = {
     # filters
     "ll_threshold": "SELECT t, cast(count(*) AS bigint) AS kept, round(sum(ll), 4) AS total FROM fx_hit WHERE ll >= -60 GROUP BY t",
     "restrict_species": "SELECT strain_id, name FROM fx_strain WHERE lower(genus) = lower('Asia') AND lower(species) = lower('nation_2')",
-    "prune_empty": "SELECT strain_id, genus FROM fx_strain WHERE strain_id IN (SELECT strain_id FROM fx_interval WHERE gene = 'R' AND ord % 3 = 0)",
+    "prune_empty": "SELECT strain_id, genus FROM fx_strain WHERE strain_id IN (SELECT strain_id FROM fx_interval WHERE gene = 'R')",
     "case_category": "SELECT CASE WHEN p_type LIKE 'PROMO%' THEN 'promo' WHEN p_type LIKE 'STANDARD%' THEN 'standard' ELSE 'other' END AS category, cast(count(*) AS bigint) AS n, replace(p_brand, 'Brand', 'B') AS brand FROM part GROUP BY 1, 3",
     # joins
     "join_dim": "SELECT s.name, s.genus, cast(count(*) AS bigint) AS n FROM fx_interval i JOIN fx_strain s ON i.strain_id = s.strain_id WHERE i.gene = 'A' GROUP BY s.name, s.genus",

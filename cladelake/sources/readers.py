@@ -76,7 +76,7 @@ def read_fastq(spark: SparkSession, path: str, quality_format: str = "fastq") ->
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(id, description, seq), sequence lines joined."""
-    blocks = spark.read.option("lineSep", ">").text(path).where("trim(value) <> ''")
+    blocks = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value")).where("trim(value) <> ''")
     lines = F.split("value", "\r?\n")
     head = F.split(lines[0], r"\s+", 2)
     return blocks.select(head[0].alias("id"), F.get(head, 1).alias("description"), F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), "").alias("seq"))

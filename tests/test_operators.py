@@ -208,3 +208,100 @@ def test_global_rank_of_nothing_and_one_value(spark):
     assert ranking.global_rank(spark.createDataFrame([], "a int"), ["a"], range_rows=5).count() == 0
     same = ranking.global_rank(spark.createDataFrame([(None,)] * 40, "a int"), ["a"], range_rows=5)
     assert sorted(r.place for r in same.collect()) == list(range(1, 41))
+
+
+def plain_linkage(n, dist, threshold):
+    """Complete linkage over all pairs, merge by merge."""
+    groups = {i: [i] for i in range(n)}
+    far = lambda a, b: max(dist.get((min(i, j), max(i, j)), np.inf) for i in groups[a] for j in groups[b])
+    while True:
+        best = min(((far(a, b), a, b) for a in groups for b in groups if a < b), default=(np.inf, 0, 0))
+        if best[0] > threshold:
+            return sorted(map(sorted, groups.values()))
+        groups[best[1]] += groups.pop(best[2])
+
+
+def test_complete_linkage_equals_brute_force(spark):
+    rng = np.random.default_rng(4)
+    n = 60
+    at = rng.random((n, 2))
+    dist = {(i, j): round(float(np.abs(at[i] - at[j]).sum()), 3) for i in range(n) for j in range(i + 1, n)}
+    got = cl.complete_linkage(spark.createDataFrame([(a, b, d) for (a, b), d in dist.items()], "a bigint, b bigint, d double"), 0.25).toPandas()
+    groups = sorted(map(sorted, got.groupby("cluster").node.apply(list).tolist() + [[i] for i in range(n) if i not in set(got.node)]))
+    assert groups == plain_linkage(n, dist, 0.25) and (got.groupby("cluster").node.min() == got.groupby("cluster").node.min().index).all()
+
+
+def test_linkage_of_many_nodes_needs_no_square():
+    n = 30000
+    label = cl.linkage_labels(n, np.arange(n - 1), np.arange(1, n), np.where(np.arange(n - 1) % 2 == 0, 0.1, 0.2), 0.3)
+    assert (label == np.arange(n) // 2 * 2).all()
+
+
+def test_jaccard_with_a_bound_equals_the_filtered_join(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(80):
+        base = rng.choice(40, int(rng.integers(1, 20)), replace=False) + 40 * (k % 4)
+        rows += [(k, f"i{x}") for x in {int(x) for x in base} | {int(y) for y in rng.integers(0, 160, 1)} | {999}]
+    sets = spark.createDataFrame(rows, "seq_id bigint, kmer string")
+    plain = {(r.a, r.b): r.jaccard for r in cl.jaccard(sets, "seq_id").collect()}
+    for least in (0.2, 0.5, 0.8, 1.0):
+        assert {(r.a, r.b): r.jaccard for r in cl.jaccard(sets, "seq_id", least=least).collect()} == {k: v for k, v in plain.items() if v >= least}
+
+
+def test_hamming_pairs_equal_brute_force(spark):
+    rng = np.random.default_rng(6)
+    seqs = {i: "".join(rng.choice(list("AC"), int(rng.integers(0, 9)))) for i in range(120)}
+    got = {(r.a, r.b): r.d for r in cl.hamming_pairs(spark.createDataFrame(list(seqs.items()), "seq_id bigint, seq string"), "seq_id", "seq", 2).collect()}
+    d = lambda x, y: sum(p != q for p, q in zip(x, y, strict=True))
+    want = {(a, b): d(x, y) for a, x in seqs.items() for b, y in seqs.items() if a < b and len(x) == len(y) and d(x, y) <= 2}
+    assert got == want
+
+
+def test_fragments_shorter_than_all_windows(spark):
+    hits = spark.createDataFrame([(1, 7, 3, 10, 1), (1, 7, 3, 10, 4), (2, 7, 9, 10, 1)], "frag_id bigint, strain_id bigint, frag_len int, marker_len int, pos int")
+    got = {r.frag_id: r.logfreq for r in ev.fragment_frequencies(hits, [(5, float(np.log(0.5))), (6, float(np.log(0.25)))]).collect()}
+    assert got == {1: pytest.approx(np.log(0.75))}
+
+
+def test_strains_with_n_stay_alone(spark, tmp_path):
+    from cladelake import cli
+
+    seq = "ACGTTGCAACGGTTAACCGGATTA"
+    spark.createDataFrame([("a", seq), ("b", seq), ("c", seq + "N"), ("c", seq)], "strain_id string, seq string").write.parquet(str(tmp_path / "m"))
+    cli.main(["cluster", str(tmp_path / "m"), str(tmp_path / "o"), "--k", "5"], spark)
+    lines = sorted(r.value for r in spark.read.text(str(tmp_path / "o")).collect() if not r.value.startswith("#"))
+    assert lines == ["a\ta,b", "c\tc"]
+
+
+def test_fasta_keeps_marks_inside_descriptions(spark, tmp_path):
+    from cladelake.sources import readers
+
+    (tmp_path / "x.fa").write_text(">m1 a>b and c\nACGT\nAC\n>m2\nGG\n")
+    got = {r.id: (r.description, r.seq) for r in readers.read_fasta(spark, str(tmp_path / "x.fa")).collect()}
+    assert got["m1"] == ("a>b and c", "ACGTAC") and got["m2"][1] == "GG"
+
+
+def test_psis_against_the_published_steps():
+    """Tail size, profile-posterior fit and smoothing written out with plain loops."""
+    rng = np.random.default_rng(7)
+    lw = rng.standard_t(2, 500)
+    out, k = inf.psis(lw)
+    x = np.sort(lw - lw.max())
+    m = int(np.ceil(min(0.2 * 500, 3 * np.sqrt(500))))
+    cut = x[-m - 1]
+    y = np.sort(np.exp(x[x > cut]) - np.exp(cut))
+    n, grid = len(y), 20 + int(np.sqrt(len(y)))
+    quart = y[int(n / 4 + 0.5) - 1]
+    theta = [1 / y[-1] + (1 - np.sqrt(grid / (j - 0.5))) / (3 * quart) for j in range(1, grid + 1)]
+    like = [n * (np.log(-t / np.mean(np.log1p(-t * y))) - np.mean(np.log1p(-t * y)) - 1) for t in theta]
+    weight = [1 / sum(np.exp(b - a) for b in like) for a in like]
+    best = sum(t * w for t, w in zip(theta, weight, strict=True))
+    raw = np.mean(np.log1p(-best * y))
+    shape, scale = (n * raw + 5) / (n + 10), -raw / best
+    assert k == pytest.approx(shape, rel=1e-9)
+    want = x.copy()
+    if shape >= 1 / 3:
+        want[-n:] = [min(0, np.log(scale / shape * ((1 - (i + 0.5) / n) ** -shape - 1) + np.exp(cut))) for i in range(n)]
+    want -= np.log(np.exp(want).sum())
+    assert np.allclose(np.sort(out), np.sort(want))
