@@ -76,6 +76,7 @@ def corpus_counts(train: DataFrame, text_col: str, depth: int) -> DataFrame:
     def count(batches):
         words: Counter = Counter()
         held: list[np.ndarray] = []
+        code_, n_ = np.zeros(0, np.int64), np.zeros(0, np.int64)
         size = 0
 
         def of_words():
@@ -83,10 +84,15 @@ def corpus_counts(train: DataFrame, text_col: str, depth: int) -> DataFrame:
             words.clear()
             return out
 
-        def of_grams():
+        def fold():
+            """Merge the grams at hand into the counts so far."""
             code, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.nulls(len(code), pa.binary()), pa.array(code), pa.array(n.astype(np.int64))], names=["token", "code", "n"])
+            every, at = np.unique(np.concatenate((code_, code)), return_inverse=True)
+            return every, np.bincount(at, np.concatenate((n_, n)), len(every)).astype(np.int64)
+
+        def of_grams():
+            return pa.RecordBatch.from_arrays([pa.nulls(len(code_), pa.binary()), pa.array(code_), pa.array(n_)], names=["token", "code", "n"])
 
         for batch in batches:
             data, offsets = shared.buffers(batch.column(0))
@@ -103,13 +109,18 @@ def corpus_counts(train: DataFrame, text_col: str, depth: int) -> DataFrame:
                     held.append(code if end == b else code[:-1])
                     size += len(code)
                     if size > 4 * PIECE:
-                        yield of_grams()
+                        code_, n_ = fold()
                         size = 0
+                        if len(code_) > 2 * PIECE:
+                            yield of_grams()
+                            code_, n_ = code_[:0], n_[:0]
                     if end == b:
                         break
         if words:
             yield of_words()
         if held:
+            code_, n_ = fold()
+        if len(code_):
             yield of_grams()
 
     parts = source.mapInArrow(count, "token binary, code bigint, n bigint")
