@@ -7,8 +7,8 @@ expects target / size copies: with documents in a fixed order and one random
 offset, a document is emitted once for each integer that its stretch of the
 running sum crosses, so floor or ceil of the expectation.
 
-The order puts documents of like size side by side (size bucket, hash salt,
-size, id), which keeps each source's taken words near its target. Its prefix
+The order puts documents of like size side by side (size bucket, salt of id
+and text, size, id), which keeps each source's taken words near its target. Its prefix
 sums have two levels: rows are ranked inside (source, size bucket, salt), and
 the few bucket counts give each bucket's start, so a source with a third of
 all rows is spread over thousands of windows.
@@ -63,9 +63,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Returns the id column, ``source``, ``size``, ``source_size``, ``target``,
     ``copies`` and ``taken`` (copies times size).
     """
-    sized = docs.select(F.col(id_col).alias("id_"), F.col(source_col).cast("string").alias("source_"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("bigint").alias("size_"))
-    sized = sized.select("*", F.coalesce(F.concat(F.lit("+"), F.col("source_")), F.lit("-")).alias("key_"), size_bucket(F.col("size_")).cast("int").alias("bucket_"), (md5_number(F.coalesce(F.col("id_").cast("string"), F.lit(""))) % salts).cast("int").alias("salt_"))
-    sized = shared.materialize(sized, "mix-sizes")
+    sized = docs.select(F.col(id_col).alias("id_"), F.col(source_col).cast("string").alias("source_"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("bigint").alias("size_"), F.col(text_col).cast("string").alias("text_"))
+    sized = sized.select("*", F.coalesce(F.concat(F.lit("+"), F.col("source_")), F.lit("-")).alias("key_"), size_bucket(F.col("size_")).cast("int").alias("bucket_"), (md5_number(F.concat(F.coalesce(F.col("id_").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text_", F.lit("")))) % salts).cast("int").alias("salt_"))
+    sized = shared.materialize(sized.drop("text_"), "mix-sizes")
     counts = sized.groupBy("key_", "source_", "bucket_", "salt_").agg(F.count("*").alias("n_"), F.sum("size_").alias("words_"))
     counts = shared.materialize(counts, "mix-buckets")
     goal = targets(counts.groupBy("source_").agg(F.sum("words_").alias("source_size")), weights, share, cap)
@@ -78,7 +78,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     offset = md5_number(F.concat(F.lit(f"{seed}:"), F.col("key_"))) / float(1 << 32)
     rank = F.col("start_") + F.col("rank_")
     copies = F.floor(rank * rate + offset) - F.floor((rank - 1) * rate + offset)
-    rows = rows.withColumn("copies", copies.cast("bigint"))
+    rows = rows.withColumn("copies", F.least(copies, F.lit(cap)).cast("bigint"))  # a rank beyond doubles may round up
     return rows.select(F.col("id_").alias(id_col), F.col("source_").alias("source"), F.col("size_").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("size_")).alias("taken"))
 
 
@@ -90,7 +90,7 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         coalesce('+' || source, '-') AS k, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % 64) AS salt
+         coalesce('+' || source, '-') AS k, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 8))::BIGINT % 64) AS salt
   FROM documents),
 bucketed AS (
   SELECT *, CASE WHEN size < 8 THEN size ELSE length(bin(size)) * 8 + (size >> greatest(length(bin(size)) - 4, 0)) % 8 END AS bucket FROM sized),

@@ -648,6 +648,26 @@ def test_ann_edges(spark):
     assert ann.search(index, quantiser, empty).count() == 0
 
 
+def test_recall_over_several_blocks_and_parts(spark):
+    """The query's own parameters on 30000 random vectors, a third of them near one direction."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(30000, 64)).astype(np.float32)
+    x[::3] = x[0] + 0.3 * x[::3]
+    table = pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32()))})
+    rows = ann.usable(spark.createDataFrame(table).repartition(2), "vec_id", "embedding")
+    index, quantiser = ann.build_index(rows)
+    got = ann.search(index, quantiser, index.where("id % 500 = 0").select("id", "vec")).toPandas()
+    wide, hit = x.astype(np.float64), 0
+    for q, g in got.groupby("query_id"):
+        score = wide @ wide[q]
+        score[q] = -np.inf
+        hit += len(set(g.vec_id) & set(np.argsort(-score)[:20].tolist()))
+        assert np.allclose(g.sort_values("rank").score, score[g.sort_values("rank").vec_id])
+    recall = hit / (20 * got.query_id.nunique())
+    print("recall", recall)
+    assert got.query_id.nunique() == 60 and recall >= 0.9
+
+
 # ---- op10
 
 def test_quality_of_held_out_documents(spark):
