@@ -77,3 +77,9 @@ def reconstruct(cigar: Column, start: Column, marker: Column, read: Column) -> C
         (lead - before).alias("read_start"),
         (body["r"] + after).alias("read_end"),
     )
+
+
+def with_mate_suffix(read: Column, read_type: Column | str) -> Column:
+    """Read ids of aligners that drop it, with the suffix /1 or /2 of their side; single reads stay as they are."""
+    kind = F.lit(read_type) if isinstance(read_type, str) else read_type
+    return F.concat(read, F.when(kind == "paired_1", "/1").when(kind == "paired_2", "/2").otherwise(""))

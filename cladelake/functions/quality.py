@@ -73,3 +73,9 @@ def indel_log_likelihood(insertions: Column, deletions: Column, log_insert: floa
     """Indel term; single-end reads also pay for the inserted base, paired ones do not."""
     base = 0.0 if paired else math.log(4)
     return insertions * (log_insert - base) + deletions * log_delete
+
+
+def noiseless_log_likelihood(read: Column, fragment: Column, gaps: Column, mismatch: float = 1e-20) -> Column:
+    """log(1 - mismatch) where read and fragment are equal without gaps, log mismatch elsewhere (-inf for 0)."""
+    other = math.log(mismatch) if mismatch else -math.inf
+    return F.when((gaps == 0) & (read == fragment), math.log1p(-mismatch)).otherwise(other)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladelake.functions.sequences import reverse_complement
+from cladelake.sources.readers import require
 
 
 def passes_filter(ungapped: Column, length: Column, matches: Column, aligned: Column, errors: Column, edge: Column, min_length: int = 35, identity: float = 0.975, error_rate: float = 1.0, min_ungapped: float = 0.5) -> Column:
@@ -95,3 +96,14 @@ def best_match(markers: DataFrame, query: DataFrame, marker: str, strain: str) -
 def first_owner(markers: DataFrame, marker: str, strain: str, order: str) -> DataFrame:
     """The first strain of each marker."""
     return markers.groupBy(marker).agg(F.min_by(strain, F.struct(order, strain)).alias(strain))
+
+
+def hits_with_strains(hits: DataFrame, contigs: DataFrame, contig: str, strain: str) -> DataFrame:
+    """Hits with the strain whose contig they lie on; a contig of no strain raises."""
+    joined = hits.join(contigs.select(contig, strain), contig, "left")
+    return joined.where(require(F.col(strain).isNotNull(), F.concat(F.lit("no strain has the sequence "), F.col(contig).cast("string"))))
+
+
+def long_enough(fragments: DataFrame, fragment: str = "frag", least: int = 15) -> DataFrame:
+    """Fragments of at least ``least`` letters."""
+    return fragments.where(F.length(fragment) >= least)

@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -172,6 +172,19 @@ class Posterior:
     presence: np.ndarray
     trace: list[float]
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """One row for each (time, strain), which ``load`` reads back."""
+        kind = "bigint" if isinstance(self.strains[0], (int, np.integer)) else "string"
+        rows = [(i, float(t), j, s, float(self.mean[i, j]), float(self.log_scale[i, j]), float(self.presence[j])) for i, t in enumerate(self.times) for j, s in enumerate(self.strains)]
+        spark.createDataFrame(rows, f"i int, t double, j int, strain {kind}, mean double, log_scale double, presence double").write.parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Posterior:
+        rows = spark.read.parquet(path).orderBy("i", "j").collect()
+        times, strains = [r.t for r in rows if r.j == 0], [r.strain for r in rows if r.i == 0]
+        grid = lambda name: np.array([r[name] for r in rows]).reshape(len(times), len(strains))
+        return cls(times, strains, grid("mean"), grid("log_scale"), grid("presence")[0], [])
+
     def inclusion(self) -> np.ndarray:
         return 1 / (1 + np.exp(-self.presence))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,3 +66,11 @@ def dense_index(df: DataFrame, key: str, order: str, out: str = "idx") -> DataFr
     """Number the distinct keys from 0 by first appearance, ties by key."""
     first = df.groupBy(key).agg(F.min(order).alias("first_"))
     return global_rank(first, ["first_", key], out).withColumn(out, F.col(out) - 1).drop("first_")
+
+
+def point_lookup(df: DataFrame, keys: dict, value: str) -> float:
+    """The one entry of a long matrix at the given indices; none and several raise."""
+    found = df.where(functools.reduce(lambda a, b: a & b, [F.col(k) == F.lit(v) for k, v in keys.items()])).select(value).limit(2).collect()
+    if len(found) != 1:
+        raise KeyError(f"{'no' if not found else 'more than one'} entry at {keys}")
+    return found[0][0]

@@ -507,6 +507,28 @@ def nbinom_logpmf(spark, sf):
     return spark.createDataFrame(WINDOWS, "w int, logp double").withColumn("logp", r6("logp", 9))
 
 
+@query("SELECT a.seq_id, CASE WHEN a.seq = b.seq AND a.seq_id % 3 > 0 THEN round(ln(1 - 0.001), 9) ELSE round(ln(0.001), 9) END AS ll FROM fx_seq a JOIN fx_seq b ON b.seq_id = a.seq_id + 1")
+def noiseless_loglik(spark, sf):
+    both = run(spark, sf, "SELECT a.seq_id, a.seq AS x, b.seq AS y FROM fx_seq a JOIN fx_seq b ON b.seq_id = a.seq_id + 1")
+    return both.select("seq_id", r6(ql.noiseless_log_likelihood(F.col("x"), F.col("y"), F.when(F.col("seq_id") % 3 == 0, 1).otherwise(0), 0.001), 9).alias("ll"))
+
+
+@query("SELECT sample_id, 'r' || sample_id || CASE read_type WHEN 'paired_1' THEN '/1' WHEN 'paired_2' THEN '/2' ELSE '' END AS read_id FROM fx_sample")
+def mate_suffix(spark, sf):
+    return view(spark, sf, "fx_sample").select("sample_id", al.with_mate_suffix(F.concat(F.lit("r"), F.col("sample_id").cast("string")), F.col("read_type")).alias("read_id"))
+
+
+@query("SELECT seq_id, length(seq) AS n FROM fx_seq WHERE length(seq) >= 15")
+def min_fragment(spark, sf):
+    return ev.long_enough(view(spark, sf, "fx_seq"), "seq").select("seq_id", F.length("seq").cast("bigint").alias("n"))
+
+
+@query("SELECT i.ord, i.read_id, s.name FROM fx_interval i JOIN fx_strain s ON i.strain_id = s.strain_id")
+def hit_strain_join(spark, sf):
+    contigs = view(spark, sf, "fx_strain").select("strain_id", "name")
+    return ev.hits_with_strains(view(spark, sf, "fx_interval"), contigs, "strain_id", "name").select("ord", "read_id", "name")
+
+
 # ---- similarity and clustering
 
 ONE_EACH = "SELECT min(seq_id) AS seq_id, seq FROM fx_seq GROUP BY seq"

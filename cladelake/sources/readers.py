@@ -205,3 +205,43 @@ def read_triangle(spark: SparkSession, path: str, n: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(i[part]), pa.array(j[part]), pa.array(d[part].astype(np.float64))], names=["i", "j", "d"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(cells, T.StructType([T.StructField("i", T.LongType()), T.StructField("j", T.LongType()), T.StructField("d", T.DoubleType())]))
+
+
+def qualified(spark: SparkSession, path: str, folder: str | None = None) -> str:
+    """The path with its file system, relative ones under ``folder``; one that is not there raises."""
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    at = jvm.Path(path) if folder is None or jvm.Path(path).isAbsolute() else jvm.Path(folder, path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(at):
+        raise FileNotFoundError(f"no file {at.toString()}")
+    return system.makeQualified(at).toString()
+
+
+def read_seeds(spark: SparkSession, path: str) -> DataFrame:
+    """(name, path) of lines 'name<tab>fasta', paths under the table's folder unless absolute; a file that is not there raises."""
+    own = qualified(spark, path)
+    cells = [r.value.split("\t") for r in spark.read.text(own).where("trim(value) <> ''").collect()]  # a table of files, one row a gene
+    return spark.createDataFrame([(c[0].strip(), qualified(spark, c[1].strip(), own.rsplit("/", 1)[0])) for c in cells], "name string, path string")
+
+
+def read_isolates(spark: SparkSession, path: str) -> DataFrame:
+    """One strain for each row of a table of assemblies (Accession, FastaPath, Genus, Species); each contig is a marker.
+
+    (strain_id, name, genus, species, marker_id, marker_name, seq): '|' in a
+    contig's id becomes ':', contigs are numbered from 0 in file order. An
+    empty table, and one without the needed columns, raise.
+    """
+    spec = require_columns(spark.read.option("sep", "\t").option("header", True).csv(path), ["Accession", "FastaPath", "Genus", "Species"])
+    rows = spec.select("Accession", "FastaPath", "Genus", "Species").collect()
+    if not rows:
+        raise ValueError(f"no assemblies in {path}")
+    listed = spark.createDataFrame([(r.Accession, r.Genus, r.Species, qualified(spark, r.FastaPath)) for r in rows], "strain_id string, genus string, species string, path string")
+    text = spark.read.option("lineSep", "\n>").text([r.path for r in listed.select("path").distinct().collect()])
+    text = text.select(F.regexp_replace("_metadata.file_path", "^([a-z]+):/+", "$1:/").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "^>", "").alias("value")).where("trim(value) <> ''")
+    lines = F.split("value", "\r?\n")
+    contigs = text.select("path", F.row_number().over(Window.partitionBy("path").orderBy("block", "at")).alias("n"), F.split(lines[0], r"\s+")[0].alias("id"), F.array_join(F.slice(lines, 2, F.size(lines)), "").alias("seq"))
+    listed = listed.withColumn("path", F.regexp_replace("path", "^([a-z]+):/+", "$1:/"))
+    return contigs.join(listed, "path").select(
+        "strain_id", F.concat("genus", "species", F.lit("_"), "strain_id").alias("name"), "genus", "species", F.translate("id", "|", ":").alias("marker_id"),
+        F.concat(F.lit("Contig-"), (F.col("n") - 1).cast("string"), F.lit(":"), "strain_id").alias("marker_name"), "seq",
+    )

@@ -305,3 +305,36 @@ def test_psis_against_the_published_steps():
         want[-n:] = [min(0, np.log(scale / shape * ((1 - (i + 0.5) / n) ** -shape - 1) + np.exp(cut))) for i in range(n)]
     want -= np.log(np.exp(want).sum())
     assert np.allclose(np.sort(out), np.sort(want))
+
+
+def test_isolates_and_seeds(spark, tmp_path):
+    from cladelake.sources import readers
+
+    (tmp_path / "a.fa").write_text(">c|1 first\nACGT\nAC\n>c2\nGG\n")
+    (tmp_path / "b.fa").write_text(">c9\nTTT\n")
+    (tmp_path / "i.tsv").write_text(f"Accession\tFastaPath\tGenus\tSpecies\nA1\t{tmp_path}/a.fa\tG\ts\nB1\t{tmp_path}/b.fa\tG\tt\n")
+    got = sorted((r.strain_id, r.name, r.marker_id, r.marker_name, r.seq) for r in readers.read_isolates(spark, str(tmp_path / "i.tsv")).collect())
+    assert got == [("A1", "Gs_A1", "c2", "Contig-1:A1", "GG"), ("A1", "Gs_A1", "c:1", "Contig-0:A1", "ACGTAC"), ("B1", "Gt_B1", "c9", "Contig-0:B1", "TTT")]
+    (tmp_path / "e.tsv").write_text("Accession\tFastaPath\tGenus\tSpecies\n")
+    with pytest.raises(ValueError):
+        readers.read_isolates(spark, str(tmp_path / "e.tsv"))
+    (tmp_path / "s.tsv").write_text(f"g1\ta.fa\ng2\t{tmp_path}/b.fa\n")
+    assert {r.name: r.path.rsplit("/", 1)[1] for r in readers.read_seeds(spark, str(tmp_path / "s.tsv")).collect()} == {"g1": "a.fa", "g2": "b.fa"}
+    (tmp_path / "s.tsv").write_text("g1\tnone.fa\n")
+    with pytest.raises(FileNotFoundError):
+        readers.read_seeds(spark, str(tmp_path / "s.tsv"))
+
+
+def test_point_lookup(spark):
+    df = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.25), (1, 3, 0.75)], "i int, j int, v double")
+    assert sp.point_lookup(df, {"i": 1, "j": 2}, "v") == 0.5
+    for j in (3, 4):
+        with pytest.raises(KeyError):
+            sp.point_lookup(df, {"i": 1, "j": j}, "v")
+
+
+def test_posterior_round_trip(spark, tmp_path):
+    post = inf.Posterior([1.0, 2.5], ["a", "b", "c"], np.arange(6.0).reshape(2, 3), -np.ones((2, 3)), np.array([0.1, -2, 3]), [])
+    post.save(spark, str(tmp_path / "p"))
+    again = inf.Posterior.load(spark, str(tmp_path / "p"))
+    assert again.times == post.times and again.strains == post.strains and np.array_equal(again.samples(5), post.samples(5))
