@@ -564,8 +564,10 @@ def pairwise_hamming(spark, sf):
 
 @query()
 def complete_linkage(spark, sf):
+    """The cluster of each distinct sequence, its own where no other is near."""
     d = cl.jaccard(_sets(spark, sf), "seq_id", least=0.8).select("a", "b", (1 - F.col("jaccard")).alias("d"))
-    return cl.complete_linkage(d, 0.2)
+    found = cl.complete_linkage(d, 0.2)
+    return run(spark, sf, ONE_EACH).select(F.col("seq_id").alias("node")).join(found, "node", "left").select("node", F.coalesce("cluster", "node").alias("cluster"))
 
 
 @query(f"""WITH c AS (SELECT p_partkey AS node, p_size AS cluster FROM part), p AS ({TRIANGLE}),
