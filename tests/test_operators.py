@@ -10,7 +10,9 @@ from cladelake.operators import evidence as ev
 from cladelake.operators import inference as inf
 from cladelake.operators import intervals as iv
 from cladelake.operators import ranking
+from cladelake.operators import sequence_sets as ss
 from cladelake.operators import sparse as sp
+from cladelake.plans import registry
 
 
 def test_touching_intervals_merge_and_gaps_do_not(spark):
@@ -338,3 +340,45 @@ def test_posterior_round_trip(spark, tmp_path):
     post.save(spark, str(tmp_path / "p"))
     again = inf.Posterior.load(spark, str(tmp_path / "p"))
     assert again.times == post.times and again.strains == post.strains and np.array_equal(again.samples(5), post.samples(5))
+
+
+def shuffled(spark, run):
+    """Bytes that a job writes to shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def so_far():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        all_ = store.executorList(False)
+        return sum(all_.apply(i).totalShuffleWrite() for i in range(all_.size()))
+
+    before = so_far()
+    run()
+    return so_far() - before
+
+
+@pytest.fixture(scope="module")
+def long_texts(spark, tmp_path_factory):
+    """A folder whose documents have 300 letters each, and three near copies; and the number of letters."""
+    rng = np.random.default_rng(8)
+    texts = ["".join("ACGT"[x] for x in rng.integers(0, 4, 300)) for _ in range(1200)]
+    texts += [texts[0][:-1], texts[0] + "A", texts[1][:297] + "ACGT", "", None, "AC"]
+    path = tmp_path_factory.mktemp("long")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{path}/documents.parquet")
+    return str(path), sum(len(x or "") for x in texts)
+
+
+def test_minhash_est_shuffles_no_kmers(spark, long_texts):
+    path, letters = long_texts
+    found = []
+    assert shuffled(spark, lambda: found.extend(registry.QUERIES["minhash_est"](spark, path).collect())) < 2 * letters
+    assert {(0, 1200), (0, 1201), (1200, 1201), (1, 1202)} >= {(r.a, r.b) for r in found} >= {(0, 1200), (0, 1201)}
+
+
+def test_minhash_of_sequences_equals_that_of_sets(spark):
+    rng = np.random.default_rng(9)
+    seqs = spark.createDataFrame([(i, "".join("ACGT"[x] for x in rng.integers(0, 4, int(n)))) for i, n in enumerate(rng.integers(0, 90, 40))], "id bigint, seq string")
+    for k, hashes in ((3, 5), (15, 12)):
+        want: dict = {}
+        for r in cl.minhash(cl.kmer_sets(seqs, "id", "seq", k), "id", hashes).orderBy("id", "h").collect():
+            want.setdefault(r.id, []).append(r.sig)
+        assert {r.id: [bytes(x).hex() for x in r.sigs] for r in ss.minhash_sequences(seqs, "id", "seq", k, hashes).collect()} == want
