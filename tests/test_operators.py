@@ -382,3 +382,26 @@ def test_minhash_of_sequences_equals_that_of_sets(spark):
         for r in cl.minhash(cl.kmer_sets(seqs, "id", "seq", k), "id", hashes).orderBy("id", "h").collect():
             want.setdefault(r.id, []).append(r.sig)
         assert {r.id: [bytes(x).hex() for x in r.sigs] for r in ss.minhash_sequences(seqs, "id", "seq", k, hashes).collect()} == want
+
+
+def test_jaccard_of_sequences_equals_that_of_sets(spark):
+    rng = np.random.default_rng(10)
+    base = ["".join("ACGT"[x] for x in rng.integers(0, 4, int(n))) for n in rng.integers(0, 120, 12)]
+    seqs = [b[int(rng.integers(0, 6)) : len(b) - int(rng.integers(0, 6))] + "ACGTTGCAACG" * int(rng.integers(0, 2)) for b in base for _ in range(8)] + ["A" * 50, "A" * 60, "", None]
+    df = spark.createDataFrame(list(enumerate(seqs)), "id bigint, seq string").repartition(3)
+    plain = {(r.a, r.b): r.jaccard for r in cl.jaccard(cl.kmer_sets(df, "id", "seq", 5), "id").collect()}
+    for least in (0.25, 0.8, 1.0):
+        want = {k: v for k, v in plain.items() if v >= least}
+        assert len(want) > 3
+        assert {(r.a, r.b): r.jaccard for r in ss.jaccard_sequences(df, "id", "seq", 5, least).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["jaccard_kmer"])
+def test_alike_sequences_shuffle_prefixes_only(spark, long_texts, name):
+    path, letters = long_texts
+    found = []
+    assert shuffled(spark, lambda: found.extend(registry.QUERIES[name](spark, path).collect())) < 20 * letters
+    if name == "jaccard_kmer":
+        assert {(0, 1200), (0, 1201), (1200, 1201), (1, 1202)} == {(r.a, r.b) for r in found}
+    else:
+        assert {r.node: r.cluster for r in found if r.cluster != r.node} == {1200: 0, 1201: 0, 1202: 1}
