@@ -396,7 +396,7 @@ def test_jaccard_of_sequences_equals_that_of_sets(spark):
         assert {(r.a, r.b): r.jaccard for r in ss.jaccard_sequences(df, "id", "seq", 5, least).collect()} == want
 
 
-@pytest.mark.parametrize("name", ["jaccard_kmer"])
+@pytest.mark.parametrize("name", ["jaccard_kmer", "complete_linkage"])
 def test_alike_sequences_shuffle_prefixes_only(spark, long_texts, name):
     path, letters = long_texts
     found = []
