@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,45 +65,110 @@ def fit_negative_binomial(values: np.ndarray, weights: np.ndarray) -> tuple[floa
 # ---- data term
 
 def data_blocks(marginal: DataFrame, times: dict, strains: dict) -> DataFrame:
-    """(t, read, strains array<int>, lls array<double>): a read's likelihoods in one row, numbered strains."""
+    """``patterns`` of (t, read_id, strain_id, ll) with numbered times; rows of other times and strains are left out."""
     of_t = F.create_map([F.lit(x) for kv in times.items() for x in kv])
+    return patterns(marginal.withColumn("t", of_t[F.col("t")]), strains).where(F.size("s") > 0)
+
+
+def patterns(marginal: DataFrame, strains: dict) -> DataFrame:
+    """(t, s array<int>, ll array<double>, n, more): reads of one pattern of likelihoods in one row, numbered strains.
+
+    A pattern is a read's likelihoods less the greatest; ``n`` reads have it,
+    and their greatest sum to ``more``. Reads of one pattern have the same
+    gradient, and values that differ by their greatest alone. Reads of other
+    strains only have the empty pattern.
+    """
     of_s = F.create_map([F.lit(x) for kv in strains.items() for x in kv])
-    rows = marginal.select(of_t[F.col("t")].alias("t"), "read_id", F.struct(of_s[F.col("strain_id")].alias("s"), "ll").alias("x")).where("t is not null and x.s is not null")
-    rows = rows.groupBy("t", "read_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
-    return rows.select("t", F.transform("x", lambda x: x["s"]).alias("s"), F.transform("x", lambda x: x["ll"]).alias("ll"))
+    rows = marginal.where("t is not null").select("t", "read_id", of_s[F.col("strain_id")].alias("s"), "ll")
+    known = F.col("s").isNotNull()
+    reads = rows.groupBy("t", "read_id").agg(F.array_sort(F.collect_list(F.when(known, F.struct("s", "ll")))).alias("x"), F.max(F.when(known, F.col("ll"))).alias("most"))
+    less = F.transform("x", lambda x: F.when(x["ll"] == F.col("most"), 0.0).otherwise(x["ll"] - F.col("most")))  # two of -inf are equal, too
+    reads = reads.select("t", F.transform("x", lambda x: x["s"]).alias("s"), less.alias("ll"), "most")
+    return reads.groupBy("t", "s", "ll").agg(F.count("*").alias("n"), F.coalesce(F.sum("most"), F.lit(0.0)).alias("more"))
+
+
+@dataclass
+class Packed:
+    """Patterns of one time, end to end: strain and likelihood of each entry, and of each pattern its first entry, reads and sum of the greatest."""
+
+    s: np.ndarray
+    ll: np.ndarray
+    heads: np.ndarray
+    n: np.ndarray
+    more: float
+
+    def value_and_gradient(self, log_y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By sample (N), and by sample and strain (N x S)."""
+        row = np.repeat(np.arange(len(self.n)), np.diff(np.append(self.heads, len(self.s))))
+        value, grad = np.zeros(len(log_y)), np.zeros(log_y.shape)
+        for i, y in enumerate(log_y):
+            z = y[self.s] + self.ll
+            top = np.maximum.reduceat(z, self.heads)
+            e = np.exp(z - top[row])
+            total = np.add.reduceat(e, self.heads)
+            value[i] = ((top + np.log(total)) * self.n).sum() + self.more
+            grad[i] = np.bincount(self.s, weights=e * (self.n / total)[row], minlength=log_y.shape[1])
+        return value, grad
+
+
+def _pack(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple[int, Packed]]:
+    """(t, patterns) of each time in rows of data blocks."""
+    t = batch.column(0).to_numpy()
+    size = pc.list_value_length(batch.column(1)).to_numpy().astype(np.int64)
+    n, more = batch.column(3).to_numpy().astype(float), batch.column(4).to_numpy()
+    row = np.repeat(np.arange(len(t)), size)
+    s, ll = (pc.list_flatten(batch.column(i)).to_numpy() for i in (1, 2))
+    for k in np.unique(t):
+        mine = t == k
+        pick = mine[row]
+        yield int(k), Packed(s[pick], ll[pick], np.cumsum(size[mine]) - size[mine], n[mine], float(more[mine].sum()))
+
+
+def packed_blocks(blocks: DataFrame) -> DataFrame:
+    """(t, s, ll, heads, n, more): data blocks as whole arrays, one row for each time and some 100000 patterns."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for b in _with_end(batches):
+            if b is not None and b.num_rows:
+                held.append(b)
+                rows += b.num_rows
+            if held and (b is None or rows >= 100_000):
+                for k, p in _pack(pa.Table.from_batches(held).combine_chunks()):
+                    arrays = [p.s.astype(np.int32), p.ll, p.heads.astype(np.int64), p.n]
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in arrays], pa.array([p.more])], names=["t", "s", "ll", "heads", "n", "more"])
+                held, rows = [], 0
+
+    return blocks.mapInArrow(pack, "t int, s binary, ll binary, heads binary, n binary, more double")
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
 
-def data_pass(blocks: DataFrame, log_y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Value by time and sample (T x N), and gradient by log y (T x N x S), of the read likelihood."""
-    held = blocks.sparkSession.sparkContext.broadcast(log_y)
+def data_pass(packed: DataFrame, log_y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Value by time and sample (T x N), and gradient by log y (T x N x S), of the read likelihood over packed blocks."""
+    packed = packed if "heads" in packed.columns else packed_blocks(packed)
+    held = packed.sparkSession.sparkContext.broadcast(log_y)
     n_t, n_n, n_s = log_y.shape
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        y = held.value
+        y, some = held.value, False
         value, grad = np.zeros((n_t, n_n)), np.zeros((n_t, n_n, n_s))
         for b in batches:
-            if not b.num_rows:
-                continue
-            t = b.column(0).to_numpy()
-            edges = b.column(1).offsets.to_numpy()
-            s, ll = b.column(1).values.to_numpy(), b.column(2).values.to_numpy()
-            row = np.repeat(np.arange(len(t)), np.diff(edges))
-            for k in np.unique(t):
-                pick = t[row] == k
-                r, si, li = row[pick], s[pick], ll[pick]
-                _, r = np.unique(r, return_inverse=True)
-                heads = np.concatenate(([0], np.flatnonzero(np.diff(r)) + 1))
-                for n in range(n_n):
-                    z = y[k, n][si] + li
-                    top = np.maximum.reduceat(z, heads)
-                    e = np.exp(z - top[r])
-                    total = np.add.reduceat(e, heads)
-                    value[k, n] += (top + np.log(total)).sum()
-                    grad[k, n] += np.bincount(si, weights=e / total[r], minlength=n_s)
-        yield pa.RecordBatch.from_arrays([pa.array([value.tobytes()], pa.binary()), pa.array([grad.tobytes()], pa.binary())], names=["value", "grad"])
+            for i in range(b.num_rows):
+                t = b.column(0)[i].as_py()
+                arrays = [np.frombuffer(b.column(c)[i].as_buffer(), kind) for c, kind in ((1, np.int32), (2, float), (3, np.int64), (4, float))]
+                v, g = Packed(*arrays, b.column(5)[i].as_py()).value_and_gradient(y[t])
+                value[t] += v
+                grad[t] += g
+                some = True
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([value.tobytes()], pa.binary()), pa.array([grad.tobytes()], pa.binary())], names=["value", "grad"])
 
     value, grad = np.zeros((n_t, n_n)), np.zeros((n_t, n_n, n_s))
-    for r in blocks.mapInArrow(part, "value binary, grad binary").toLocalIterator():
+    for r in packed.mapInArrow(part, "value binary, grad binary").collect():
         value += np.frombuffer(bytes(r["value"])).reshape(value.shape)
         grad += np.frombuffer(bytes(r["grad"])).reshape(grad.shape)
     held.unpersist()
@@ -245,21 +311,26 @@ def elbo(params: dict, eps: np.ndarray, gumbel: np.ndarray, dt: np.ndarray, temp
 def infer(marginal: DataFrame, marker_lengths: dict, epochs: int = 50, iterations: int = 5, samples: int = 4, rate: float = 0.05, prior: float = 0.5, seed: int = 314159, tolerance: float = 1e-5, max_local_rows: int = 1_000_000) -> Posterior:
     """Fit the posterior to (t, read_id, strain_id, ll).
 
-    Likelihood rows are cached on the cluster and each iteration is one job;
-    with at most ``max_local_rows`` of them they are fetched once, since a
-    job's latency would then outweigh its work.
+    The input is read once. Its distinct patterns of likelihoods are cached on
+    the cluster as whole arrays and each iteration is one job; with at most
+    ``max_local_rows`` likelihoods in them they are fetched once, since a job's
+    latency would then outweigh its work.
     """
-    times = sorted(r[0] for r in marginal.select("t").distinct().collect())
     strains = sorted(marker_lengths)
-    blocks = data_blocks(marginal, {t: i for i, t in enumerate(times)}, {s: i for i, s in enumerate(strains)})
-    reads_by = {r["t"]: r["n"] for r in blocks.groupBy("t").agg(F.count("*").alias("n")).collect()}
-    reads = np.array([reads_by.get(i, 0) for i in range(len(times))], float)
-    blocks = blocks.persist()
-    rows = blocks.agg(F.coalesce(F.sum(F.size("s")), F.lit(0))).first()[0]
-    if rows <= max_local_rows:
-        data = _local_data(blocks.toPandas(), len(times), len(strains))
+    blocks = patterns(marginal, {s: i for i, s in enumerate(strains)}).persist()
+    by_time = {r["t"]: r for r in blocks.groupBy("t").agg(F.sum(F.when(F.size("s") > 0, F.col("n")).otherwise(0)).alias("n"), F.sum(F.size("s")).alias("entries")).collect()}
+    times = sorted(by_time)
+    reads = np.array([by_time[t]["n"] for t in times], float)
+    numbered = F.create_map([F.lit(x) for i, t in enumerate(times) for x in (t, i)])[F.col("t")] if times else F.lit(0)
+    held = blocks.where(F.size("s") > 0).withColumn("t", numbered)
+    if sum(r["entries"] for r in by_time.values()) <= max_local_rows:
+        data = _local_data(held.toPandas(), len(times), len(strains))
     else:
-        data = lambda log_y: data_pass(blocks, log_y)
+        packed = packed_blocks(held).persist()
+        packed.count()
+        blocks.unpersist()
+        blocks = packed
+        data = lambda log_y: data_pass(packed, log_y)
     rng = np.random.Generator(np.random.PCG64(seed))
     shape = (len(times), len(strains))
     params = {"mean": rng.standard_normal(shape) * 0.01, "log_scale": np.full(shape, -2.0), "presence": np.zeros(shape[1])}
@@ -286,19 +357,12 @@ def _local_data(pdf, n_t: int, n_s: int):
     parts = {}
     for t, g in pdf.groupby("t"):
         size = g["s"].map(len).to_numpy()
-        parts[t] = np.repeat(np.arange(len(g)), size), np.concatenate(g["s"].to_list()).astype(int), np.concatenate(g["ll"].to_list()), np.concatenate(([0], np.cumsum(size)[:-1]))
+        parts[t] = Packed(np.concatenate(g["s"].to_list()).astype(int), np.concatenate(g["ll"].to_list()), np.cumsum(size) - size, g["n"].to_numpy(float), float(g["more"].sum()))
 
     def data(log_y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         value, grad = np.zeros(log_y.shape[:2]), np.zeros(log_y.shape)
-        for t, (row, s, ll, heads) in parts.items():
-            z = log_y[t][:, s] + ll
-            top = np.maximum.reduceat(z, heads, axis=1)
-            e = np.exp(z - top[:, row])
-            total = np.add.reduceat(e, heads, axis=1)
-            value[t] = (top + np.log(total)).sum(1)
-            e /= total[:, row]
-            for n in range(log_y.shape[1]):
-                grad[t, n] = np.bincount(s, weights=e[n], minlength=n_s)
+        for t, part in parts.items():
+            value[t], grad[t] = part.value_and_gradient(log_y[t])
         return value, grad
 
     return data

@@ -405,3 +405,31 @@ def test_alike_sequences_shuffle_prefixes_only(spark, long_texts, name):
         assert {(0, 1200), (0, 1201), (1200, 1201), (1, 1202)} == {(r.a, r.b) for r in found}
     else:
         assert {r.node: r.cluster for r in found if r.cluster != r.node} == {1200: 0, 1201: 0, 1202: 1}
+
+
+def test_inference_reads_its_input_once_and_packs_equal_reads(spark):
+    rng = np.random.default_rng(12)
+    kinds = [{int(s): float(x) for s, x in zip(rng.choice(4, 2, replace=False), rng.normal(size=2).round(2), strict=True)} for _ in range(6)]
+    rows = [(t, r, s, x - r % 3) for t in (3, 5) for r in range(300) for s, x in kinds[(r + t) % 6].items()] + [(9, 1, 77, -1.0)]
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    m = spark.createDataFrame(rows, "t int, read_id int, strain_id int, ll double").repartition(3).mapInArrow(seen, "t int, read_id int, strain_id int, ll double")
+    blocks = inf.data_blocks(m, {3: 0, 5: 1}, {s: s for s in range(4)})
+    assert blocks.count() < 100
+    y = np.log(rng.dirichlet(np.ones(4), size=(2, 3)))
+    z = [[[np.logaddexp.reduce([y[t, n, s] + x - r % 3 for s, x in kinds[(r + (3, 5)[t]) % 6].items()]) for r in range(300)] for n in range(3)] for t in range(2)]
+    value, grad = inf.data_pass(blocks, y)
+    assert np.allclose(value, np.sum(z, 2)) and np.allclose(grad.sum(2), 300)
+    for most in (0, 10**6):
+        read.value = 0
+        post = inf.infer(m, dict.fromkeys(range(4), 100), epochs=2, iterations=2, max_local_rows=most)
+        assert read.value == len(rows)
+        assert post.times == [3, 5, 9]
+        if most:
+            assert np.allclose(post.mean, before.mean) and np.allclose(post.trace, before.trace)
+        before = post
