@@ -433,3 +433,21 @@ def test_inference_reads_its_input_once_and_packs_equal_reads(spark):
         if most:
             assert np.allclose(post.mean, before.mean) and np.allclose(post.trace, before.trace)
         before = post
+
+
+def test_seed_candidates_shuffle_nothing(spark, long_texts):
+    path, letters = long_texts
+    found = []
+    assert shuffled(spark, lambda: found.extend(registry.QUERIES["seed_candidates"](spark, path).collect())) < letters / 10
+    assert (1, 1202) in {(r.read_id, r.marker_id) for r in found}
+
+
+@pytest.mark.parametrize("index_bytes", [None, 2000])
+def test_seed_pairs_equal_the_join_of_sets(spark, index_bytes):
+    rng = np.random.default_rng(13)
+    seqs = ["".join("ACGT"[x] for x in rng.integers(0, 4, int(n))) for n in rng.integers(0, 90, 60)] + ["", None, "ACGT" * 20]
+    df = spark.createDataFrame(list(enumerate(seqs)), "id bigint, seq string")
+    reads, markers = df.where("id % 3 = 1").withColumnRenamed("id", "r"), df.where("id % 3 <> 1").withColumnRenamed("id", "m")
+    join = cl.kmer_sets(reads, "r", "seq", 4).join(cl.kmer_sets(markers, "m", "seq", 4), "kmer").groupBy("r", "m").agg(F.count("*").alias("seeds")).where("seeds >= 3")
+    want = sorted(map(tuple, join.collect()))
+    assert want and sorted(map(tuple, ss.seed_pairs(reads, markers, "r", "m", "seq", 4, 3, index_bytes).collect())) == want
