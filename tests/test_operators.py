@@ -451,3 +451,20 @@ def test_seed_pairs_equal_the_join_of_sets(spark, index_bytes):
     join = cl.kmer_sets(reads, "r", "seq", 4).join(cl.kmer_sets(markers, "m", "seq", 4), "kmer").groupBy("r", "m").agg(F.count("*").alias("seeds")).where("seeds >= 3")
     want = sorted(map(tuple, join.collect()))
     assert want and sorted(map(tuple, ss.seed_pairs(reads, markers, "r", "m", "seq", 4, 3, index_bytes).collect())) == want
+
+
+@pytest.mark.parametrize("index_bytes", [None, 3000])
+def test_jaccard_pairs_equal_the_join_of_sets(spark, index_bytes):
+    rng = np.random.default_rng(14)
+    seqs = ["".join("ACGT"[x] for x in rng.integers(0, 4, int(n))) for n in rng.integers(0, 90, 60)] + ["", None, "ACGT" * 20]
+    df = spark.createDataFrame(list(enumerate(seqs)), "id bigint, seq string").repartition(3)
+    want = {(r.a, r.b): r.jaccard for r in cl.jaccard(cl.kmer_sets(df, "id", "seq", 4), "id").collect()}
+    got = ss.jaccard_pairs(df, "id", "seq", 4, index_bytes).collect()
+    assert len(got) == len(want) > 500 and {(r.a, r.b): r.jaccard for r in got} == want
+
+
+def test_jaccard_kmer_returns_all_that_share_a_kmer(spark, long_texts):
+    """Also those that are little alike."""
+    want = cl.jaccard(cl.kmer_sets(spark.read.parquet(f"{long_texts[0]}/documents.parquet"), "doc_id", "text", 15), "doc_id").collect()
+    got = {(r.a, r.b): r.jaccard for r in registry.QUERIES["jaccard_kmer"](spark, long_texts[0]).collect()}
+    assert min(got.values()) < 0.1 and got == {(r.a, r.b): round(r.jaccard, 6) for r in want}
