@@ -468,3 +468,25 @@ def test_jaccard_kmer_returns_all_that_share_a_kmer(spark, long_texts):
     want = cl.jaccard(cl.kmer_sets(spark.read.parquet(f"{long_texts[0]}/documents.parquet"), "doc_id", "text", 15), "doc_id").collect()
     got = {(r.a, r.b): r.jaccard for r in registry.QUERIES["jaccard_kmer"](spark, long_texts[0]).collect()}
     assert min(got.values()) < 0.1 and got == {(r.a, r.b): round(r.jaccard, 6) for r in want}
+
+
+@pytest.mark.parametrize("index_bytes", [None, 1000])
+def test_minhash_pairs_equal_those_of_sets(spark, index_bytes):
+    rng = np.random.default_rng(15)
+    seqs = ["".join("ACGT"[x] for x in rng.integers(0, 4, int(n))) for n in rng.integers(0, 90, 60)] + ["", None, "ACGT" * 20]
+    df = spark.createDataFrame(list(enumerate(seqs)), "id bigint, seq string").repartition(3)
+    want = {(r.a, r.b): r.estimate for r in cl.minhash_similarity(cl.minhash(cl.kmer_sets(df, "id", "seq", 4), "id", 16), "id", 16).collect()}
+    got = ss.minhash_pairs(df, "id", "seq", 4, 16, index_bytes).collect()
+    assert len(got) == len(want) > 500 and {(r.a, r.b): r.estimate for r in got} == want
+
+
+def test_minhash_est_returns_all_that_agree_in_a_hash(spark, tmp_path):
+    """Also those of fewer than 13."""
+    rng = np.random.default_rng(16)
+    base = "".join("ACGT"[x] for x in rng.integers(0, 4, 200))
+    texts = [base, base[100:] + "".join("ACGT"[x] for x in rng.integers(0, 4, 100)), base[40:]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.a, r.b): r.estimate for r in registry.QUERIES["minhash_est"](spark, str(tmp_path)).collect()}
+    want = cl.minhash_similarity(cl.minhash(cl.kmer_sets(df, "doc_id", "text", 15), "doc_id", 16), "doc_id", 16).collect()
+    assert got == {(r.a, r.b): r.estimate for r in want} and min(got.values()) < 13 / 16
