@@ -13,6 +13,7 @@ from cladelake.operators import ranking
 from cladelake.operators import sequence_sets as ss
 from cladelake.operators import sparse as sp
 from cladelake.plans import registry
+from cladelake.plans.fixtures import run
 
 
 def test_touching_intervals_merge_and_gaps_do_not(spark):
@@ -490,3 +491,11 @@ def test_minhash_est_returns_all_that_agree_in_a_hash(spark, tmp_path):
     got = {(r.a, r.b): r.estimate for r in registry.QUERIES["minhash_est"](spark, str(tmp_path)).collect()}
     want = cl.minhash_similarity(cl.minhash(cl.kmer_sets(df, "doc_id", "text", 15), "doc_id", 16), "doc_id", 16).collect()
     assert got == {(r.a, r.b): r.estimate for r in want} and min(got.values()) < 13 / 16
+
+
+def test_seed_candidates_are_all_pairs(spark, sf):
+    """Whatever the remainders of their ids."""
+    sets = cl.kmer_sets(run(spark, sf, "SELECT * FROM fx_seq"), "seq_id", "seq", 10)
+    pairs = sets.withColumnRenamed("seq_id", "a").join(sets.withColumnRenamed("seq_id", "b"), "kmer").where("a < b").groupBy("a", "b").agg(F.count("*").alias("seeds")).where("seeds >= 5")
+    got = sorted(map(tuple, registry.QUERIES["seed_candidates"](spark, sf).collect()))
+    assert got == sorted(map(tuple, pairs.collect())) and {r % 25 for r, _, _ in got} > {0, 1, 2} and {m % 25 for _, m, _ in got} > {0, 1, 2}
